@@ -44,7 +44,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if n not in _powers:
         if _powers:
             _powers.clear()
-        up = lambda x: np.cumprod(np.concatenate([[1], np.full(n, x, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+
+        def up(x: int) -> np.ndarray:
+            factors = np.full(n + 1, x, np.uint64)
+            factors[0] = 1
+            return np.cumprod(factors, dtype=np.uint64)
+
         _powers[n] = up(ODD), up(pow(ODD, -1, 1 << 64))
     return _powers[n]
 
