@@ -53,10 +53,11 @@ class Cache(dict):
         self.fill, self.limit = fill, limit
 
     def learn(self, strings) -> None:
-        missing = [s for s in set(strings) if s not in self]
+        wanted = set(strings)
+        missing = [s for s in wanted if s not in self]
         if len(self) + len(missing) > self.limit:
             self.clear()
-            missing = list(set(strings))
+            missing = list(wanted)
         if missing:
             self.update(zip(missing, self.fill(missing), strict=True))
 

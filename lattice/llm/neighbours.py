@@ -53,7 +53,7 @@ class Index:
             # where each line's window of each width begins and ends
             ends = np.stack([np.searchsorted(line, np.concatenate([c - widths, c + widths])) for line, c in zip(self.sorted, q)])
             low, high = ends[:, : len(widths)], ends[:, len(widths) :]
-            at = int(np.argmax((high - low).sum(0) >= 0.75 * need * want)) if n > want else len(widths) - 1
+            at = int(np.argmax((high - low).sum(0) >= 0.75 * need * n)) if n > want else len(widths) - 1
             a = b = None
             while True:
                 if a is None:
