@@ -15,28 +15,20 @@ import functools
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lattice.llm.common import Cache, portions, table, utf8
-
-#: Unicode white space; the regex module's own class also holds 0x1C to 0x1F.
-SPACE = "\\x09-\\x0D\\x20\\x85\\xA0" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
-
+from lattice.llm.common import Cache, cut_at, portions, table, utf8
+from lattice.llm.pretokens import splitter
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def splitter(pattern: str) -> regex.Pattern:
-    """The pattern with the white-space class spelled out."""
-    return regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
-
-
 def mapped(data: bytes) -> str:
     return (np.frombuffer(data, np.uint8).astype("<u4") + 0x100).tobytes().decode("utf-32-le")
 
@@ -76,7 +68,7 @@ class Codec:
         if sorted(self.ranks.values()) != list(range(len(self.ranks))):
             raise ValueError("ranks have to be 0, 1, 2, ...")
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.ranks))
-        self.split = splitter(pattern).findall
+        self.split = splitter(pattern)
         self.pieces = np.empty(len(self.ranks), object)
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
@@ -86,15 +78,18 @@ class Codec:
         data = [utf8(s) for s in strings]
         out: list[bytes | None] = [None if (r := self.ranks.get(b)) is None else struct.pack("<I", r) for b in data]
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self.model.encode([mapped(data[i]) for i in rest], num_threads=1), strict=True):
-            out[i] = (np.array(ids, "<u4") - 1).astype("<u4").tobytes()
+        own = [data[i] for i in rest]
+        found = self.model.encode(cut_at(mapped(b"".join(own)), map(len, own)), num_threads=1)
+        ids = (np.fromiter(chain.from_iterable(found), "<i8") - 1).astype("<u4").tobytes()
+        for i, x in zip(rest, cut_at(ids, (4 * len(f) for f in found)), strict=True):
+            out[i] = x
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         tokens = [self.split(t) for t in texts]
-        self.cache.learn(s for x in tokens for s in x)
-        get = self.cache.__getitem__
+        self.cache.learn(tokens)
+        get = self.cache.of.__getitem__
         return [b"".join(map(get, x)) for x in tokens]
 
     def decode(self, ids: bytes) -> bytes:

@@ -44,22 +44,25 @@ def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-class Cache(dict):
-    """Values of recurring strings. fill(list of missing strings) gives their values, in order; past limit entries
-    it starts anew, so that memory stays bounded while frequent strings come back at once."""
+class Cache:
+    """Values of recurring strings, in the dict of. fill(list of missing strings) gives their values, in order; past
+    limit entries it starts anew, so that memory stays bounded while frequent strings come back at once."""
 
     def __init__(self, fill: Callable[[list], list], limit: int = 400_000):
-        super().__init__()
+        self.of: dict = {}
         self.fill, self.limit = fill, limit
 
-    def learn(self, strings) -> None:
-        wanted = set(strings)
-        missing = [s for s in wanted if s not in self]
-        if len(self) + len(missing) > self.limit:
-            self.clear()
-            missing = list(wanted)
+    def learn(self, lists: list[list]) -> None:
+        """Makes sure that all strings of the lists are there."""
+        missing: set = set()
+        for own in lists:
+            missing |= set(own).difference(self.of)
+        if len(self.of) + len(missing) > self.limit:
+            self.of.clear()
+            missing = set().union(*lists)
         if missing:
-            self.update(zip(missing, self.fill(missing), strict=True))
+            strings = list(missing)
+            self.of.update(zip(strings, self.fill(strings), strict=True))
 
 
 def portions(rows: Iterator, size: Callable, most: int) -> Iterator[list]:
@@ -100,3 +103,12 @@ def whole_groups(batches: Iterator, n_keys: int) -> Iterator[tuple]:
             kept = new
     if kept is not None:
         yield kept, np.array([0, len(kept)])
+
+
+def cut_at(data, lengths) -> list:
+    """Consecutive slices of the lengths."""
+    out, at = [], 0
+    for n in lengths:
+        out.append(data[at : at + n])
+        at += n
+    return out

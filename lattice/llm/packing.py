@@ -15,9 +15,12 @@ one. Text is never cut off: a document longer than a sequence is cut into consec
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm.common import Cache, portions, table, utf8
+from lattice.llm.common import Cache, cut_at, portions, table
+from lattice.llm.pretokens import splitter
 
 SEQUENCE = 2048
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -34,28 +38,60 @@ PACKED = PIECES + ", sequence_id bigint, offset bigint"
 BLOCK = 16_384
 
 
+#: How the vocabulary splits lower-cased text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_characters() -> list[str]:
+    """The character of each byte: itself if it is a visible one of Latin-1, else the next from 0x100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in visible else next(others)) for b in range(256)]
+
+
 class Encoder:
-    """Ids of whole texts. The vocabulary drops white space and no merge crosses it, so a text's ids are those of its
-    words in order; each word is encoded once."""
+    """Ids of whole texts, each pre-token encoded once.
+
+    Below U+0250 (but for the dotted capital I) the vocabulary's normalisation is plain lower-casing, so such texts are
+    split here and new pre-tokens go to its merges at once; other texts, and texts with special tokens, go through the
+    whole tokenizer. It is used in the same way for any text if the file differs from what is expected.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.own = Tokenizer.from_file(path)
+        model = json.loads(self.own.to_str())
+        parts = json.dumps([model["normalizer"], model["pre_tokenizer"], model["model"].get("end_of_word_suffix"), model["post_processor"]])
+        self.plain = all(x in parts for x in ('"NFC"', '"Lowercase"', json.dumps(PATTERN), '"</w>"')) and model["post_processor"] is None and all(t["content"].startswith("<|") for t in model["added_tokens"])
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in model["added_tokens"]) or "(?!)")  # all of them begin with <|
+        self.split, self.odd = splitter(PATTERN), re.compile("[\u0130\u0250-\U0010ffff]")
+        self.merges = Tokenizer(self.own.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        ids = self.own.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[i for t, i in ids.items() if t.endswith("</w>")]] = True
+        self.characters = dict(enumerate(byte_characters()))
         self.cache = Cache(self._encode)
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, words: list[str]) -> list[bytes]:
+        # No byte of a pre-token is a space, so a space keeps them apart; the last id of each is one that ends a word.
+        lines = [" ".join(words[k : k + 100]).encode().replace(b" ", b"\n").decode("latin-1").translate(self.characters | {10: " "}) for k in range(0, len(words), 100)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.merges.encode_batch_fast(lines, add_special_tokens=False)), "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        return cut_at(ids.tobytes(), (4 * np.diff(stops, prepend=0)).tolist())
+
+    def _is_plain(self, text: str) -> bool:
+        return self.plain and (text.isascii() or not self.odd.search(text)) and not ("<|" in text and self.special.search(text))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        data = [utf8(t) for t in texts]
-        # The vocabulary lower-cases; doing so for A-Z first makes more words alike. Special tokens keep their case.
-        words = [(b if b"<|" in b else b.lower()).split() for b in data]
-        self.cache.learn(w for x in words for w in x)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in words]
+        texts = [t or "" for t in texts]
+        plain = [self._is_plain(t) for t in texts]
+        tokens = [self.split(t.lower()) if p else [] for t, p in zip(texts, plain)]
+        self.cache.learn(tokens)
+        get = self.cache.of.__getitem__
+        return [b"".join(map(get, x)) if p else np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for x, t, p in zip(tokens, texts, plain)]
 
 
 @functools.cache

@@ -19,8 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lattice.llm.byte_bpe import read_ranks, splitter
+from lattice.llm.byte_bpe import read_ranks
 from lattice.llm.common import Cache, portions, table
+from lattice.llm.pretokens import splitter
 
 Edit = tuple[int, int, str]
 #: What the query masks: secrets, e-mail addresses, IPv4 addresses and long runs of digits.
@@ -39,9 +40,9 @@ def masks(text: str) -> list[Edit]:
 class Tree:
     """Sums over pre-token slots. A slot holds the pre-tokens that stand where one stood; edits change slots in place."""
 
-    def __init__(self, text: str, split: Callable[[str], list[str]], count: Callable[[list[str]], list[int]]):
+    def __init__(self, tokens: list[str], split: Callable[[str], list[str]], count: Callable[[list[str]], list[int]]):
         self.split, self.count = split, count
-        self.slots: list = split(text)
+        self.slots: list = [*tokens]
         n = len(self.slots)
         self.size = 1 << max(0, n - 1).bit_length()
         self.sums = np.zeros((2, 2 * self.size), np.int64)
@@ -146,15 +147,15 @@ class Counter:
         import tiktoken
 
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-        self.split = splitter(pattern).findall
+        self.split = splitter(pattern)
         self.cache = Cache(lambda strings: [len(own.encode_ordinary(s)) for s in strings])
 
     def count(self, tokens: list[str]) -> list[int]:
         try:
-            return [*map(self.cache.__getitem__, tokens)]
+            return [*map(self.cache.of.__getitem__, tokens)]
         except KeyError:
-            self.cache.learn(tokens)
-            return [*map(self.cache.__getitem__, tokens)]
+            self.cache.learn([tokens])
+            return [*map(self.cache.of.__getitem__, tokens)]
 
 
 @functools.cache
@@ -174,8 +175,10 @@ def recount(docs: DataFrame, path: str, pattern: str, edits_of: Callable[[str],
             rows = zip(batch.column(0).to_pylist(), (t or "" for t in batch.column(1).to_pylist()), given)
             for part in portions(rows, lambda r: len(r[1]) + 100, 4_000_000):
                 out = []
-                for doc, text, edits in part:
-                    tree = Tree(text, own.split, own.count)
+                tokens = [own.split(text) for _, text, _ in part]
+                own.cache.learn(tokens)
+                for (doc, text, edits), split in zip(part, tokens):
+                    tree = Tree(split, own.split, own.count)
                     before = tree.n_tokens
                     edits = [(e["start"], e["end"], e["replacement"] or "") for e in edits or () if e] if edits_column else edits_of(text)
                     n = tree.edit_all(edits) if edits else 0
