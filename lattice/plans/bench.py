@@ -1,4 +1,342 @@
-"""Queries over the parquet tables."""
+"""The engine's queries over the parquet tables: a property graph derived from them, and their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Regions are databases, nations services, suppliers modules, parts packages and customers endpoints. Suppliers import
+their nation's path by a symbolic target; parts depend on suppliers by large lineitems.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattice.functions.mask import BEARER, QUOTED_KEY, REDACTED, TOKENS, mask_secrets
+from lattice.model import Graph
+from lattice.operators import drift, kernels, metrics, resolve, rules
+from lattice.storage import stored
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    t = lambda name: table(spark, sf_dir, name)
+    region, nation = t("region").select("r_regionkey", "r_name"), t("nation").select("n_nationkey", "n_name", "n_regionkey")
+    supplier = t("supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("n_nationkey")).join(nation, "n_nationkey")
+    customer = t("customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("n_nationkey")).join(nation, "n_nationkey")
+    node = lambda df, id_, name, kind, path: df.select(F.expr(id_).alias("id"), F.expr(name).alias("name"), F.lit(kind).alias("type"), F.expr(path).alias("path"))
+    place = "concat('region/', n_regionkey, '/nation/', n_nationkey"
+    nodes = (node(region, "concat('db:region/', r_regionkey)", "r_name", "database", "cast(null as string)")
+             .unionByName(node(nation, "concat('svc:nation/', n_nationkey)", "n_name", "service", f"{place})"))
+             .unionByName(node(supplier, "concat('mod:supplier/', s_suppkey)", "s_name", "module", f"{place}, '/supplier/', s_suppkey)"))
+             .unionByName(node(t("part").select("p_partkey", "p_name", "p_brand", "p_type"), "concat('pkg:part/', p_partkey)", "p_name", "package", "concat('parts/', p_brand, '/', p_type, '/', p_partkey)"))
+             .unionByName(node(customer, "concat('endpoint:customer/', c_custkey)", "c_name", "endpoint", f"{place}, '/customer/', c_custkey)")))
+    edge = lambda df, source, target, kind, c: df.select(F.expr(source).alias("source"), F.expr(target).alias("target"), F.lit(kind).alias("type"), F.lit("").alias("label"), F.lit(c).alias("confidence"), F.lit(0).alias("ord"))
+    supply = t("lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey").distinct()
+    edges = (edge(nation, "concat('svc:nation/', n_nationkey)", "concat('db:region/', n_regionkey)", "read_write", 0.8)
+             .unionByName(edge(supplier, "concat('mod:supplier/', s_suppkey)", f"concat('import:acme/', {place}))", "dependency", 0.9))
+             .unionByName(edge(customer, "concat('endpoint:customer/', c_custkey)", "concat('svc:nation/', n_nationkey)", "dependency", 0.85))
+             .unionByName(edge(supply, "concat('pkg:part/', l_partkey)", "concat('mod:supplier/', l_suppkey)", "dependency", 0.9)))
+    return Graph(nodes, edges)
+
+
+def resolved(spark: SparkSession, sf_dir: str) -> Graph:
+    g = graph(spark, sf_dir)
+    return Graph(g.nodes, resolve.resolved_edges(g.nodes, g.edges))
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each event type to the type that follows for the same user."""
+    from pyspark.sql import Window
+
+    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = table(spark, sf_dir, "events").select("event_type", after.alias("next")).where("next is not null and next <> event_type")
+    return e.select(F.concat(F.lit("q:"), "event_type").alias("source"), F.concat(F.lit("q:"), "next").alias("target"), F.lit("dependency").alias("type")).distinct()
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
+    return t.select(F.concat(F.lit("pkg:part/"), "l_partkey").alias("source"), F.concat(F.lit("mod:supplier/"), "l_suppkey").alias("target"), F.lit("dependency").alias("type"), "l_shipdate")
+
+
+G = """
+WITH RECURSIVE cn AS (SELECT c_custkey, c_name, n_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+sn AS (SELECT s_suppkey, s_name, n_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+nodes AS (
+  SELECT 'db:region/' || r_regionkey AS id, r_name AS name, 'database' AS type, NULL::VARCHAR AS path FROM region
+  UNION ALL SELECT 'svc:nation/' || n_nationkey, n_name, 'service', 'region/' || n_regionkey || '/nation/' || n_nationkey FROM nation
+  UNION ALL SELECT 'mod:supplier/' || s_suppkey, s_name, 'module', 'region/' || n_regionkey || '/nation/' || n_nationkey || '/supplier/' || s_suppkey FROM sn
+  UNION ALL SELECT 'pkg:part/' || p_partkey, p_name, 'package', 'parts/' || p_brand || '/' || p_type || '/' || p_partkey FROM part
+  UNION ALL SELECT 'endpoint:customer/' || c_custkey, c_name, 'endpoint', 'region/' || n_regionkey || '/nation/' || n_nationkey || '/customer/' || c_custkey FROM cn),
+raw AS (
+  SELECT 'svc:nation/' || n_nationkey AS source, 'db:region/' || n_regionkey AS target, 'read_write' AS type, 0.8::DOUBLE AS confidence FROM nation
+  UNION ALL SELECT 'mod:supplier/' || s_suppkey, 'import:acme/region/' || n_regionkey || '/nation/' || n_nationkey, 'dependency', 0.9 FROM sn
+  UNION ALL SELECT 'endpoint:customer/' || c_custkey, 'svc:nation/' || n_nationkey, 'dependency', 0.85 FROM cn
+  UNION ALL SELECT DISTINCT 'pkg:part/' || l_partkey, 'mod:supplier/' || l_suppkey, 'dependency', 0.9 FROM lineitem WHERE l_quantity >= 49),
+tail AS (SELECT DISTINCT target, array_to_string(list_slice(string_split(target[8:], '/'), k, len(string_split(target[8:], '/'))), '/') AS t
+  FROM (SELECT target, unnest(range(1, len(string_split(target[8:], '/')) + 1)) AS k FROM (SELECT DISTINCT target FROM raw WHERE target LIKE 'import:%'))),
+found AS (SELECT target, arg_min(id, (-strlen(t), id)) AS id FROM tail JOIN nodes ON path = t GROUP BY target),
+edges AS (SELECT DISTINCT source, coalesce(id, target) AS target, type,
+    CASE WHEN target LIKE 'import:%' AND confidence > 0 THEN greatest(confidence - 0.1, 0.5) ELSE confidence END AS confidence
+  FROM raw LEFT JOIN found USING (target) WHERE coalesce(id, target) IN (SELECT id FROM nodes) AND source <> coalesce(id, target)),
+dep AS (SELECT source, target FROM edges WHERE type = 'dependency'),
+fio AS (SELECT id, coalesce(o, 0)::BIGINT AS fan_out, coalesce(i, 0)::BIGINT AS fan_in,
+    CASE WHEN coalesce(o, 0) + coalesce(i, 0) > 0 THEN coalesce(o, 0) / (coalesce(o, 0) + coalesce(i, 0)) ELSE 0.0 END::DOUBLE AS instability
+  FROM nodes LEFT JOIN (SELECT source AS id, count(*) AS o FROM dep GROUP BY 1) USING (id) LEFT JOIN (SELECT target AS id, count(*) AS i FROM dep GROUP BY 1) USING (id)
+  WHERE type NOT IN ('database', 'queue', 'cache', 'external_api')),
+tr AS (SELECT DISTINCT 'q:' || event_type AS source, 'q:' || nxt AS target FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt <> event_type),
+blast AS (SELECT 'db:region/0' AS id, 0 AS depth UNION SELECT source, depth + 1 FROM blast JOIN edges ON target = id WHERE depth < 50),
+down AS (SELECT source AS a, target AS b FROM tr UNION SELECT a, target FROM down JOIN tr ON source = b),
+sgraph AS (SELECT source AS a, target AS b FROM edges WHERE type = 'read_write' OR source LIKE 'mod:%' UNION SELECT target, source FROM edges WHERE type = 'read_write' OR source LIKE 'mod:%'),
+und AS (SELECT a, b FROM sgraph UNION SELECT und.a, sgraph.b FROM und JOIN sgraph ON und.b = sgraph.a),
+long AS (SELECT source AS id, target AS tip, 1 AS depth FROM dep UNION SELECT id, target, depth + 1 FROM long JOIN dep ON source = tip)
+"""
+
+SMALL = "type = 'read_write' or source like 'mod:%'"
+OLD_NEW = "l_shipdate < timestamp '1998-01-01'"
+
+
+def _bound(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
+    """Every region is a boundary, by path."""
+    g = resolved(spark, sf_dir)
+    b = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.concat(F.lit("region/"), "r_regionkey").alias("path"))
+    return g, drift.boundary_of(g.nodes, b.unionByName(spark.createDataFrame([("root", ".")], "name string, path string")))
+
+
+def q_resolve_edges(s, d):
+    return resolved(s, d).edges.select("source", "target", "type", F.round("confidence", 6).alias("confidence"))
+
+
+def q_node_type_counts(s, d):
+    return metrics.counts_by_type(graph(s, d).nodes)
+
+
+def q_edge_type_counts(s, d):
+    return metrics.counts_by_type(resolved(s, d).edges)
+
+
+def q_fan_in_out(s, d):
+    g = resolved(s, d)
+    return metrics.fan_in_out(g.nodes, g.edges).select("id", "fan_out", "fan_in", F.round("instability", 6).alias("instability"))
+
+
+def q_metrics_summary(s, d):
+    g = resolved(s, d)
+    return metrics.metrics_summary(g.nodes, g.edges).select(F.round("avg_coupling", 6).alias("avg_coupling"), F.round("avg_instability", 6).alias("avg_instability"))
+
+
+def q_blast_radius(s, d):
+    return kernels.blast_radius(resolved(s, d).edges, "db:region/0").select("id", "depth")
+
+
+def q_blast_radius_summary(s, d):
+    return kernels.blast_radius(resolved(s, d).edges, "db:region/0").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count("*").alias("total"))
+
+
+def q_dataflow_traces(s, d):
+    g = resolved(s, d)
+    return kernels.traces(g.nodes, g.edges).select("entry", F.array_join("chain", " > ").alias("chain"), "terminal", F.round("confidence", 6).alias("confidence"))
+
+
+def q_scc_members(s, d):
+    return kernels.strong_components(transitions(s, d)).select("id", F.col("scc").alias("scc_min_id"))
+
+
+def q_has_cycle(s, d):
+    return kernels.has_cycle(transitions(s, d))
+
+
+def q_max_depth(s, d):
+    return kernels.depths(resolved(s, d).edges.where("type = 'dependency'")).agg(F.max("depth").cast("bigint").alias("max_depth"))
+
+
+def q_components(s, d):
+    g = resolved(s, d)
+    return kernels.components(g.nodes.where("type in ('database', 'service', 'module')"), g.edges.where(SMALL)).select("id", F.col("root").alias("component"))
+
+
+def q_transitive_reduce(s, d):
+    return kernels.transitive_reduction(resolved(s, d).edges.where("type = 'dependency' and source not like 'endpoint:%'").unionByName(
+        s.createDataFrame([("pkg:part/0", "svc:nation/0", "dependency", "", 1.0)], "source string, target string, type string, label string, confidence double")))
+
+
+def q_k_core(s, d):
+    g = resolved(s, d)
+    return kernels.k_core(g.nodes, g.edges, 2)
+
+
+def q_prune_super_nodes(s, d):
+    g = resolved(s, d)
+    return metrics.prune_super_nodes(g.nodes, g.edges, 0.015)[2].select("id", F.round("share", 6).alias("share"))
+
+
+def q_group_by_folder(s, d):
+    g = resolved(s, d)
+    return metrics.group_by_folder(g.nodes, g.edges, 2)
+
+
+def q_view_filter(s, d):
+    g = resolved(s, d)
+    return metrics.view(g.nodes, g.edges, "container")[1].select("source", "target", "type")
+
+
+def q_orphans(s, d):
+    g = graph(s, d)
+    return rules.orphans(g.nodes, g.edges).select(F.col("subject").alias("id"), "rule", "severity")
+
+
+def q_layering_violations(s, d):
+    g = resolved(s, d)
+    short = g.edges.where("source like 'endpoint:%'").select("source", F.col("target").alias("via")).join(g.edges.select(F.col("source").alias("via"), "target"), "via").select("source", "target", F.lit("dependency").alias("type"))
+    return rules.layering(g.nodes, short).select("subject", "rule", "severity")
+
+
+def q_no_dependency(s, d):
+    g = resolved(s, d)
+    rule = rules.Rule("parts-off-region-3", "no_dependency", rules.Matcher("package", "parts/**"), rules.Matcher("module", "region/3/**"))
+    return rules.custom(g.nodes, g.edges, rule).select("rule", "subject")
+
+
+def q_require_dependency(s, d):
+    g = resolved(s, d)
+    rule = rules.Rule("parts-need-supplier", "require_dependency", rules.Matcher("package"), rules.Matcher("module"))
+    return rules.custom(g.nodes, g.edges, rule).select("rule", "subject")
+
+
+def q_baseline_split(s, d):
+    g = graph(s, d)
+    found = rules.orphans(g.nodes, g.edges)
+    known = g.nodes.where("type = 'package' and length(name) % 2 = 0").select(F.lit("no_orphan_nodes").alias("rule"), F.col("id").alias("subject"))
+    return rules.split_known(found, known).select("rule", "subject", "is_new")
+
+
+def q_graph_diff(s, d):
+    e = dated(s, d)
+    return drift.edge_changes(e.where(OLD_NEW), e.where(f"not ({OLD_NEW})"))
+
+
+def q_node_diff(s, d):
+    n = graph(s, d).nodes.where("type in ('package', 'module')")
+    old = n.where("length(id) % 5 <> 0")
+    new = n.where("length(id) % 4 <> 0").withColumn("name", F.when(F.col("id").endswith("7"), "renamed").otherwise(F.col("name")))
+    return drift.node_changes(old, new)
+
+
+def q_history_lag(s, d):
+    return drift.history(dated(s, d), F.date_format("l_shipdate", "yyyy-MM"))
+
+
+def q_cross_boundary(s, d):
+    g, owner = _bound(s, d)
+    return drift.cross_boundary(g.edges, owner)
+
+
+def q_shared_database(s, d):
+    g, owner = _bound(s, d)
+    return drift.shared_databases(g.nodes, g.edges.where("type = 'read_write'").unionByName(g.edges.where("source like 'pkg:%'").select("source", F.lit("db:region/1").alias("target"), "type", "label", "confidence")), owner)
+
+
+def q_target_binding(s, d):
+    wanted = s.createDataFrame([("nation/3",), ("svc:nation/4",), ("supplier/5",), ("5",), ("nothing",)], "target string")
+    return resolve.target_binding(wanted, graph(s, d).nodes)
+
+
+def q_wikilink_resolve(s, d):
+    n = graph(s, d).nodes
+    wanted = n.where("type in ('service', 'module')").select(F.concat(F.lit("wikilink:"), F.regexp_extract("path", "([^/]+/[^/]+)$", 1)).alias("target"))
+    return resolve.resolve_wikilinks(wanted, n).select(F.col("target").alias("link"), "id")
+
+
+def q_route_match(s, d):
+    url = table(s, d, "pages").select(F.regexp_extract("url", r"^[^:]+://[^/]+(/[^?#]*)", 1).alias("route")).distinct()
+    first = F.regexp_extract("route", r"^/([^/]+)", 1)
+    ends = url.select(first.alias("lang")).distinct().where("lang <> ''").select(F.concat(F.lit("endpoint:"), "lang").alias("id"), F.lit("GET").alias("method"), F.concat(F.lit("/"), "lang", F.lit("/:id")).alias("route"))
+    return resolve.match_routes(url.select(F.col("route").alias("target"), F.lit("GET").alias("method"), "route"), ends).select(F.col("target").alias("called"), F.col("id").alias("endpoint"))
+
+
+def q_url_host(s, d):
+    return table(s, d, "pages").select("page_id", F.lower(F.regexp_extract("url", r"^(?:https?:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)).alias("host"))
+
+
+def q_mask_secrets(s, d):
+    return table(s, d, "documents").select("doc_id", F.md5(mask_secrets(F.col("text"))).alias("masked_md5"))
+
+
+def q_structure_rules(s, d):
+    return rules.structure_rules(graph(s, d).nodes)
+
+
+def q_recommend_thresholds(s, d):
+    g = resolved(s, d)
+    m = stored(metrics.fan_in_out(g.nodes, g.edges), "metrics")
+    return rules.threshold_recommendations(m)
+
+
+def q_changes_detect(s, d):
+    docs = table(s, d, "documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("hash"))
+    path = lambda df: df.select(F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 2)).alias("path"), "hash").groupBy("path").agg(F.min("hash").alias("hash"))
+    return drift.listing_changes(path(docs.where("doc_id % 2 = 0")), path(docs.where("doc_id % 2 = 1")))
+
+
+def q_file_hash(s, d):
+    return table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+QUERIES = {name[2:]: f for name, f in dict(globals()).items() if name.startswith("q_")}
+
+_quoted = lambda x: x.replace("'", "''")
+_masked = f"regexp_replace(regexp_replace(text, '{_quoted(BEARER)}', '\\1{REDACTED}', 'g'), '{_quoted(QUOTED_KEY)}', '\\1\"{REDACTED}\"', 'g')"
+for _t in TOKENS:
+    _masked = f"regexp_replace({_masked}, '{_quoted(_t)}', '{REDACTED}', 'g')"
+
+_DATED = "x AS (SELECT DISTINCT 'pkg:part/' || l_partkey AS source, 'mod:supplier/' || l_suppkey AS target, l_shipdate FROM lineitem WHERE l_quantity >= 49)"
+_OWNER = """, ob AS (SELECT id, arg_max(b, l) AS boundary FROM (
+  SELECT id, 'root' AS b, 0 AS l FROM nodes WHERE path IS NOT NULL UNION ALL SELECT id, r_name, 1 FROM nodes JOIN region ON path = 'region/' || r_regionkey OR starts_with(path, 'region/' || r_regionkey || '/')) GROUP BY id)"""
+_FOLDER = "CASE WHEN type IN ('module', 'package', 'endpoint') THEN 'dir:' || array_to_string(list_slice(string_split(CASE WHEN type = 'endpoint' THEN regexp_replace(path, '/?[^/]*$', '') ELSE path END, '/'), 1, 2), '/') ELSE id END"
+
+ORACLE_SQL = {
+    "resolve_edges": G + "SELECT source, target, type, round(confidence, 6) AS confidence FROM edges",
+    "node_type_counts": G + "SELECT type, count(*) AS n FROM nodes GROUP BY type",
+    "edge_type_counts": G + "SELECT type, count(*) AS n FROM edges GROUP BY type",
+    "fan_in_out": G + "SELECT id, fan_out, fan_in, round(instability, 6) AS instability FROM fio",
+    "metrics_summary": G + "SELECT round(avg(fan_in + fan_out), 6) AS avg_coupling, round(avg(instability), 6) AS avg_instability FROM fio",
+    "blast_radius": G + "SELECT id, min(depth)::INT AS depth FROM blast WHERE id <> 'db:region/0' GROUP BY id",
+    "blast_radius_summary": G + "SELECT count(*) FILTER (WHERE depth = 1) AS direct, count(*) AS total FROM (SELECT id, min(depth) AS depth FROM blast WHERE id <> 'db:region/0' GROUP BY id)",
+    "dataflow_traces": G + "SELECT a.source AS entry, a.source || ' > ' || a.target || ' > ' || b.target AS chain, b.target AS terminal, round(least(a.confidence, b.confidence), 6) AS confidence FROM edges a JOIN edges b ON b.source = a.target WHERE a.source LIKE 'endpoint:%'",
+    "scc_members": G + "SELECT a AS id, least(a, min(b)) AS scc_min_id FROM (SELECT x.a, x.b FROM down x JOIN down y ON x.a = y.b AND x.b = y.a UNION SELECT source, source FROM tr UNION SELECT target, target FROM tr) GROUP BY a",
+    "has_cycle": G + "SELECT count(*) > 0 AS has_cycle FROM down WHERE a = b",
+    "max_depth": G + "SELECT max(depth)::BIGINT AS max_depth FROM long",
+    "components": G + "SELECT id, least(id, coalesce(min(b), id)) AS component FROM nodes LEFT JOIN und ON a = id WHERE type IN ('database', 'service', 'module') GROUP BY id",
+    "transitive_reduce": G + """, t AS (SELECT source, target FROM edges WHERE type = 'dependency' AND source NOT LIKE 'endpoint:%' UNION SELECT 'pkg:part/0', 'svc:nation/0'),
+far AS (SELECT a.source, b.target FROM t a JOIN t b ON b.source = a.target) SELECT source, target, 'dependency' AS type FROM t WHERE NOT EXISTS (SELECT 1 FROM far WHERE far.source = t.source AND far.target = t.target)""",
+    "k_core": G + "".join(f""", e{k} AS (SELECT source, target FROM {'edges' if k == 0 else f'e{k - 1}'} WHERE source IN (SELECT id FROM d{k}) AND target IN (SELECT id FROM d{k})), d{k + 1} AS (SELECT id FROM (SELECT unnest([source, target]) AS id FROM e{k}) GROUP BY id HAVING count(*) >= 2)"""
+        if k else """, d0 AS (SELECT id FROM (SELECT unnest([source, target]) AS id FROM edges) GROUP BY id HAVING count(*) >= 2), e0 AS (SELECT source, target FROM edges WHERE source IN (SELECT id FROM d0) AND target IN (SELECT id FROM d0)), d1 AS (SELECT id FROM (SELECT unnest([source, target]) AS id FROM e0) GROUP BY id HAVING count(*) >= 2)""" for k in range(7)) + " SELECT id FROM d7",
+    "prune_super_nodes": G + "SELECT target AS id, round(count(DISTINCT source) / (SELECT count(DISTINCT source) FROM edges), 6) AS share FROM edges GROUP BY target HAVING count(DISTINCT source) / (SELECT count(DISTINCT source) FROM edges) > 0.015",
+    "group_by_folder": G + f", g AS (SELECT id, {_FOLDER} AS g FROM nodes) SELECT s.g AS source, t.g AS target, type, count(*) AS n FROM edges JOIN g s ON s.id = source JOIN g t ON t.id = target WHERE s.g <> t.g GROUP BY ALL",
+    "view_filter": G + ", v AS (SELECT id FROM nodes WHERE type NOT IN ('package', 'endpoint')) SELECT source, target, type FROM edges WHERE source IN (FROM v) AND target IN (FROM v)",
+    "orphans": G + "SELECT id, 'no_orphan_nodes' AS rule, 'low' AS severity FROM nodes WHERE type NOT IN ('endpoint', 'database', 'queue', 'cache', 'external_api') AND id NOT IN (SELECT source FROM raw) AND id NOT IN (SELECT target FROM raw)",
+    "layering_violations": G + "SELECT a.source || ' -> ' || b.target AS subject, 'no_layer_violation' AS rule, 'high' AS severity FROM edges a JOIN edges b ON b.source = a.target WHERE a.source LIKE 'endpoint:%' AND b.target LIKE 'db:%'",
+    "no_dependency": G + "SELECT 'parts-off-region-3' AS rule, source || ' -> ' || target AS subject FROM edges JOIN nodes ON id = target WHERE source LIKE 'pkg:%' AND path LIKE 'region/3/%' AND nodes.type = 'module'",
+    "require_dependency": G + "SELECT 'parts-need-supplier' AS rule, id AS subject FROM nodes WHERE type = 'package' AND id NOT IN (SELECT source FROM edges WHERE target LIKE 'mod:%')",
+    "baseline_split": G + "SELECT 'no_orphan_nodes' AS rule, id AS subject, NOT (type = 'package' AND length(name) % 2 = 0) AS is_new FROM nodes WHERE type NOT IN ('endpoint', 'database') AND id NOT IN (SELECT source FROM raw) AND id NOT IN (SELECT target FROM raw)",
+    "graph_diff": f"WITH {_DATED}, o AS (SELECT DISTINCT source, target FROM x WHERE l_shipdate < TIMESTAMP '1998-01-01'), n AS (SELECT DISTINCT source, target FROM x WHERE l_shipdate >= TIMESTAMP '1998-01-01') SELECT c AS change_type, 'edge' AS category, source || ' -> ' || target || ' (dependency)' AS subject, 'medium' AS severity FROM (SELECT 'added' AS c, * FROM (FROM n EXCEPT FROM o) UNION ALL SELECT 'removed', * FROM (FROM o EXCEPT FROM n))",
+    "node_diff": G + ", o AS (SELECT id, name FROM nodes WHERE type IN ('package', 'module') AND length(id) % 5 <> 0), n AS (SELECT id, CASE WHEN id LIKE '%7' THEN 'renamed' ELSE name END AS name FROM nodes WHERE type IN ('package', 'module') AND length(id) % 4 <> 0) SELECT CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'modified' END AS change_type, 'node' AS category, id AS subject, 'medium' AS severity FROM o FULL JOIN n USING (id) WHERE o.name IS DISTINCT FROM n.name",
+    "history_lag": f"""WITH {_DATED}, e AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month, source, target FROM x), m AS (SELECT month, row_number() OVER (ORDER BY month) AS k FROM (SELECT DISTINCT month FROM e)), r AS (SELECT * FROM e JOIN m USING (month)),
+s AS (SELECT month, k, count(*) AS edges FROM r GROUP BY ALL), kept AS (SELECT b.k, count(*) AS kept FROM r a JOIN r b ON a.source = b.source AND a.target = b.target AND b.k = a.k + 1 GROUP BY b.k), n AS (SELECT month, count(DISTINCT id) AS nodes FROM (SELECT month, unnest([source, target]) AS id FROM e) GROUP BY month)
+SELECT month, nodes, edges, CASE WHEN lag(edges) OVER (ORDER BY k) IS NULL THEN 0 ELSE edges + lag(edges) OVER (ORDER BY k) - 2 * coalesce(kept, 0) END::BIGINT AS changes FROM s LEFT JOIN kept USING (k) JOIN n USING (month)""",
+    "cross_boundary": G + _OWNER + " SELECT count(*) FILTER (WHERE s.boundary <> t.boundary) AS crossing, count(*) AS total FROM edges JOIN ob s ON s.id = source JOIN ob t ON t.id = target",
+    "shared_database": G + _OWNER + " SELECT target AS id, count(DISTINCT boundary) AS boundaries FROM (SELECT source, target FROM edges WHERE type = 'read_write' UNION ALL SELECT source, 'db:region/1' FROM edges WHERE source LIKE 'pkg:%') JOIN ob ON ob.id = source GROUP BY target HAVING count(DISTINCT boundary) >= 2",
+    "target_binding": G + ", w(target) AS (VALUES ('nation/3'), ('svc:nation/4'), ('supplier/5'), ('5'), ('nothing')) SELECT target, arg_min(id, (CASE WHEN id = target THEN 0 ELSE 1 END, strlen(id), id)) AS id FROM w JOIN nodes ON id = target OR ends_with(id, '/' || target) OR path = target OR ends_with(path, '/' || target) GROUP BY target",
+    "wikilink_resolve": G + ", w AS (SELECT regexp_extract(path, '([^/]+/[^/]+)$', 1) AS t FROM nodes WHERE type IN ('service', 'module')) SELECT 'wikilink:' || t AS link, arg_min(id, (CASE WHEN lower(path) = lower(t) THEN 0 ELSE len(string_split(path, '/')) END, id)) AS id FROM (SELECT DISTINCT t FROM w) JOIN nodes ON lower(path) = lower(t) OR ends_with(lower(path), '/' || lower(t)) GROUP BY t",
+    "route_match": "WITH u AS (SELECT DISTINCT regexp_extract(url, '^[^:]+://[^/]+(/[^?#]*)', 1) AS route FROM pages), p AS (SELECT route, list_filter(string_split(route, '/'), lambda s: s <> '') AS parts FROM u) SELECT route AS called, 'endpoint:' || parts[1] AS endpoint FROM p WHERE len(parts) = 2",
+    "url_host": "SELECT page_id, lower(regexp_extract(url, '^(?:https?:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM pages",
+    "mask_secrets": f"SELECT doc_id, md5({_masked}) AS masked_md5 FROM documents",
+    "structure_rules": G + "SELECT count(*) FILTER (WHERE type = 'database') = 1 AND count(*) FILTER (WHERE type IN ('service', 'module')) > 2 AS split_database, count(*) FILTER (WHERE type = 'endpoint') > 5 AND count(*) FILTER (WHERE type = 'cache') = 0 AS add_caching FROM nodes",
+    "recommend_thresholds": G + """, m AS (SELECT id, fan_in, fan_in + fan_out AS c, instability, avg(fan_in + fan_out) OVER () AS a FROM fio),
+r AS (SELECT 'reduce_coupling' AS category, id AS subject, CASE WHEN c > 3 * a THEN 'high' ELSE 'medium' END AS priority, c / (2 * a) AS ratio, fan_in FROM m WHERE a > 2 AND c > 2 * a
+  UNION ALL SELECT 'stabilize_core', id, 'high', instability / 0.7, fan_in FROM m WHERE fan_in > 3 AND instability > 0.7
+  UNION ALL SELECT 'split_module', id, 'medium', c / 8.0, fan_in FROM m WHERE c > 8)
+SELECT category, subject, CASE WHEN priority = 'medium' AND (fan_in > 3 OR count(*) OVER (PARTITION BY subject) > 1) THEN 'high' ELSE priority END AS priority, CASE WHEN ratio >= 1.5 THEN 'high' WHEN ratio >= 1.2 THEN 'medium' ELSE 'low' END AS confidence FROM r""",
+    "changes_detect": "WITH d AS (SELECT doc_id, source || '/' || lang || '/' || (doc_id // 2) AS path, sha256(text) AS h FROM documents), o AS (SELECT path, min(h) AS h FROM d WHERE doc_id % 2 = 0 GROUP BY path), n AS (SELECT path, min(h) AS h FROM d WHERE doc_id % 2 = 1 GROUP BY path) SELECT path, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'unchanged' ELSE 'modified' END AS status FROM o FULL JOIN n USING (path)",
+    "file_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+}
