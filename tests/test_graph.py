@@ -1,0 +1,65 @@
+import re
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from lattice.functions.glob import glob_regex
+from lattice.operators import kernels, resolve
+from lattice.plans import bench
+
+SF = "/root/testdata/sf0.001"
+QUICK = ["node_type_counts", "edge_type_counts", "fan_in_out", "orphans", "layering_violations", "graph_diff", "node_diff", "history_lag", "target_binding", "wikilink_resolve", "route_match", "url_host", "mask_secrets", "changes_detect", "recommend_thresholds", "group_by_folder"]
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events documents pages".split():
+        con.execute(f"create view {t} as from '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", QUICK)
+def test_same_rows_as_sql(spark, duck, name):
+    a, b = bench.QUERIES[name](spark, SF).toPandas(), duck.sql(bench.ORACLE_SQL[name]).df()
+    rows = lambda d: sorted(map(str, d[sorted(d.columns)].astype(object).where(d.notna(), None).itertuples(index=False, name=None)))
+    assert sorted(a.columns) == sorted(b.columns)
+    assert rows(a) == rows(b)
+
+
+def test_every_query_has_sql_or_is_of_the_subpackage():
+    llm = entry.llm.QUERIES if entry.llm else {}
+    assert {*entry.queries()} - {*entry.oracle_sql()} <= {*llm, "pipeline"}
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+
+
+def edges(spark, pairs):
+    return spark.createDataFrame([(a, b, "dependency", "", 0.9, k) for k, (a, b) in enumerate(pairs)], "source string, target string, type string, label string, confidence double, ord int")
+
+
+def test_blast_radius_paths(spark):
+    e = edges(spark, [("cmd", "api"), ("cmd", "utils"), ("api", "utils"), ("api", "db"), ("cli", "utils")])
+    found = {r["id"]: (r["depth"], r["path_back"]) for r in kernels.blast_radius(e, "utils").collect()}
+    assert found == {"cmd": (1, ["cmd", "utils"]), "api": (1, ["api", "utils"]), "cli": (1, ["cli", "utils"])}
+
+
+def test_strong_components(spark):
+    e = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f")])
+    assert {r["id"]: r["scc"] for r in kernels.strong_components(e).collect()} == dict(a="a", b="a", c="a", d="d", e="d", f="f")
+
+
+def test_imports_take_the_longest_tail(spark):
+    nodes = spark.createDataFrame([("pkg:x", "model"), ("pkg:y", "internal/model"), ("pkg:a", "internal/model")], "id string, path string")
+    wanted = spark.createDataFrame([("import:host/internal/model",), ("import:other/model",), ("import:none",)], "target string")
+    assert {r["target"]: r["id"] for r in resolve.resolve_imports(wanted, nodes).collect()} == {"import:host/internal/model": "pkg:a", "import:other/model": "pkg:x"}
+
+
+@pytest.mark.parametrize("glob,path,fits", [
+    ("*_test.go", "a/b/x_test.go", True), ("*_test.go", "x.go", False), ("**/tests/**", "a/tests/x", True), ("**/tests/**", "tests/x", True),
+    ("a/*/c", "a/b/c", True), ("a/*/c", "a/b/d/c", False), ("[^a]x", "bx", True), ("[^a]x", "ax", False), ("[a", "[a", False)])
+def test_globs(glob, path, fits):
+    assert bool(re.search(glob_regex(glob), path)) == fits
