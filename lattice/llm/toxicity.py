@@ -3,8 +3,8 @@
 Labels are of documents, so token labels are derived first: a feature (a lower-cased word, or its first 4, 5 or 6
 letters) that is far more frequent in toxic training documents than in others marks the tokens that have it, in toxic
 documents only. A two-label chain (other, toxic) is trained on windows around such tokens and on windows without, by
-exact forward-backward gradients in numpy. Hashed features have a fixed number of weights, so the model that goes to
-the tasks has a fixed size.
+exact forward-backward gradients in numpy. Only features of those windows have weights, so the bound of the sample
+bounds the model that goes to the tasks.
 
 Scoring runs forward-backward over a whole text in windows of 64 tokens. A document's score is a logistic function of
 its largest marginal log-odds and its expected number of toxic tokens; tokens over one half give the offending spans.
@@ -17,7 +17,6 @@ both classes every score is 0. Of repeated labels of a document, toxic wins. Rep
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from lattice.llm.common import portions, remainder, table
 
 SAMPLE, SAMPLE_CHARS = 1200, 20_000
-BITS, WINDOW, TRAIN_WINDOW = 18, 64, 24
+WINDOW, TRAIN_WINDOW = 64, 24
 WORDS = re.compile(r"\w+")
 
 
@@ -38,21 +37,16 @@ def features(word: str) -> list[str]:
     return ["w" + word, *(f"{n}{word[:n]}" for n in (4, 5, 6) if len(word) >= n)]
 
 
-def hashed(word: str) -> list[int]:
-    """Four slots; 0 stands for none and has no weight."""
-    own = [zlib.crc32(f.encode("utf-8", "surrogatepass")) % ((1 << BITS) - 1) + 1 for f in features(word)]
-    return own + [0] * (4 - len(own))
-
-
 @dataclass
 class Model:
-    weights: np.ndarray  # of hashed features, for the toxic label
+    weights: dict[str, float]  # of features of the training windows, for the toxic label
     bias: float
     moves: np.ndarray  # transition scores
     logistic: tuple[float, float, float]
 
     def emission(self, word: str) -> float:
-        return float(self.weights[hashed(word)].sum()) + self.bias
+        get = self.weights.get
+        return sum([get(f, 0.0) for f in features(word)]) + self.bias
 
 
 class Emissions(dict):
@@ -102,13 +96,21 @@ def evidence(odds: np.ndarray) -> tuple[float, float]:
 
 
 def marking_features(words: list[list[str]], toxic: list[int]) -> set[str]:
-    """Features whose share of toxic documents is over 20 times that of others."""
+    """Features whose share of toxic documents is over 20 times that of others, and too often so for chance among very
+    many features: a log-likelihood ratio over 12."""
     found = {0: Counter(), 1: Counter()}
     n = Counter(toxic)
     for own, label in zip(words, toxic):
         found[label].update({f for w in set(own) for f in features(w)})
-    share = lambda f, x: (found[x][f] + 0.5) / (n[x] + 1)
-    return {f for f, c in found[1].items() if c >= 5 and share(f, 1) > 20 * share(f, 0)}
+
+    def marks(f: str, c1: int) -> bool:
+        c0, total = found[0][f], n[0] + n[1]
+        if (c1 + 0.5) / (n[1] + 1) <= 20 * (c0 + 0.5) / (n[0] + 1):
+            return False
+        part = lambda c, m: c * np.log(c * total / ((c0 + c1) * m)) if c else 0.0
+        return part(c1, n[1]) + part(c0, n[0]) > 12
+
+    return {f for f, c in found[1].items() if c >= 5 and marks(f, c)}
 
 
 def train(texts: list[str], toxic: list[int], weight: tuple[float, float] = (1.0, 1.0), epochs: int = 6, seed: int = 1) -> Model:
@@ -116,7 +118,7 @@ def train(texts: list[str], toxic: list[int], weight: tuple[float, float] = (1.0
     words = [WORDS.findall(t.lower()) for t in texts]
     marking = marking_features(words, toxic)
     rng = np.random.default_rng(seed)
-    slots: dict[str, list[int]] = {}
+    index: dict[str, int] = {}  # a feature's number; 0 stands for none
     rows, tags = [], []
     for own, label in zip(words, toxic):
         y = [int(bool(label) and any(f in marking for f in features(w))) for w in own]
@@ -125,30 +127,33 @@ def train(texts: list[str], toxic: list[int], weight: tuple[float, float] = (1.0
         for s in starts:
             part = own[s : s + TRAIN_WINDOW]
             pad = TRAIN_WINDOW - len(part)
-            rows.append([slots.setdefault(w, hashed(w)) for w in part] + [[0] * 4] * pad)
+            own_features = [[index.setdefault(f, len(index) + 1) for f in features(w)] for w in part]
+            rows.append([f + [0] * (4 - len(f)) for f in own_features] + [[0] * 4] * pad)
             tags.append(y[s : s + TRAIN_WINDOW] + [0] * pad)
-    model = Model(np.zeros(1 << BITS), -2.0, np.zeros((2, 2)), (0.0, 0.0, -10.0))
+    model = Model({}, -2.0, np.zeros((2, 2)), (0.0, 0.0, -10.0))
     if not rows or not any(map(any, tags)):
         return model
-    x, y = np.array(rows), np.array(tags, float)
-    squares, bias_sq, moves_sq = np.full(1 << BITS, 1e-3), 1e-3, np.full((2, 2), 1e-3)
+    x, y, size = np.array(rows), np.array(tags, float), len(index) + 1
+    weights = np.zeros(size)
+    squares, bias_sq, moves_sq = np.full(size, 1e-3), 1e-3, np.full((2, 2), 1e-3)
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(x), 128):
             xb, yb = x[order[at : at + 128]], y[order[at : at + 128]]
-            scores = model.weights[xb].sum(2) + model.bias
+            scores = weights[xb].sum(2) + model.bias
             d_s, d_t = gradient(scores, model.moves, yb)
             where = xb.reshape(-1)
-            g = np.bincount(where, np.repeat(d_s.reshape(-1), 4), 1 << BITS) / len(xb) + 1e-5 * model.weights
+            g = np.bincount(where, np.repeat(d_s.reshape(-1), 4), size) / len(xb) + 1e-5 * weights
             g[0] = 0
             squares += g * g
-            model.weights -= 0.5 * g / np.sqrt(squares)
+            weights -= 0.5 * g / np.sqrt(squares)
             b = d_s.sum() / len(xb)
             bias_sq += b * b
             model.bias -= 0.2 * b / np.sqrt(bias_sq)
             d_t = d_t / len(xb)
             moves_sq += d_t * d_t
             model.moves -= 0.2 * d_t / np.sqrt(moves_sq)
+    model.weights = {f: float(weights[k]) for f, k in index.items() if abs(weights[k]) > 0.01}
     cache = Emissions(model)
     odds = document_marginals([np.array([cache[w] for w in own]) for own in words], model.moves)
     model.logistic = fit_logistic(np.array([evidence(o) for o in odds]), np.array(toxic, float), np.array([weight[v] for v in toxic]))
