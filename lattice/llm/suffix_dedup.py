@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from lattice.llm.common import portions, stored, table, utf8, whole_groups
 
 LENGTH, GRAM, SHALLOW, GROUP = 400, 128, 48, 5000
+#: A key with over 1/HOT of all runs is dealt to SALTS tasks; there can be no more than HOT such keys.
+HOT, SALTS = 1000, 32
 ODD = 0x9E3779B97F4A7C15
 NO_ID = -(1 << 63)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -293,16 +295,30 @@ def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
     return windows.where("asks").join(twice, "window").select("doc", "text_hash", "start", (F.col("start") + length).alias("stop"))
 
 
+def _dealt_join(found: DataFrame, keyed: DataFrame, on: list[str], key: str, total: int) -> DataFrame:
+    """found joined with keyed (a row per value of on, with its number n of rows in found). Values of key that hold
+    many of the total rows go to several tasks: found's rows by their place, keyed's rows to each of them."""
+    hot = [r[0] for r in keyed.where(F.col("n") * HOT > total).select(key).collect()]  # at most HOT
+    if hot:
+        salt = F.pmod(F.xxhash64("doc", "text_hash", "p1"), F.lit(SALTS)).cast("int")
+        found = found.withColumn("_salt", F.when(F.col(key).isin(hot), salt).otherwise(0))
+        every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+        keyed = keyed.withColumn("_salt", F.explode(F.when(F.col(key).isin(hot), every).otherwise(F.array(F.lit(0)))))
+        on = [*on, "_salt"]
+    return found.join(keyed.select(*on), on).drop("_salt")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None, group: int = GROUP) -> DataFrame:
     """doc, text_hash and the byte spans that repeated strings cover (they may overlap); docs (doc, text)."""
     gram = gram or max(1, min(GRAM, length // 3))
     found = stored(_find_runs(docs, length, gram), "runs")
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    some = stored(found.join(twice, "gram"), "repeated-runs")
+    total = found.count()
+    twice = stored(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "repeated-grams")
+    some = stored(_dealt_join(found, twice, ["gram"], "gram", total), "repeated-runs")
     sets = some.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc", "text_hash", "p1", "p2", "anchor")).alias("one"))
     sets = stored(sets, "run-sets")
     several = sets.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > group).alias("large"))
-    equal = some.join(sets.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select("doc", "text_hash", F.col("p1").alias("start"), (F.col("p2") + length).alias("stop"))
+    equal = _dealt_join(some, sets.where("n > 1"), ["gram", "whole"], "whole", total).select("doc", "text_hash", F.col("p1").alias("start"), (F.col("p2") + length).alias("stop"))
     fine = sets.join(several, "gram").select("gram", "one.*", (F.col("n") == 1).alias("asks"), "large")
     contexts = stored(_contexts(docs, fine, length), "run-bytes")
     out = equal.unionByName(_sorted_spans(contexts.where("not large"), length, gram))
