@@ -30,6 +30,16 @@ class Found:
     rel: str
     language: str
     rows: list[tuple] = field(default_factory=list)
+    #: The node that stands for the file, where it isn't its module.
+    owner: str = ""
+
+    @property
+    def root(self) -> str:
+        return self.path[: -len(self.rel) - 1]
+
+    @property
+    def origin(self) -> str:
+        return self.owner or self.module
 
     @property
     def stem(self) -> str:
@@ -50,12 +60,12 @@ class Found:
 
     def call(self, host: str, label: str, url: str, line: int) -> None:
         self.node(f"service:{host}", host, "external_api", detected_via="http_call")
-        self.edge(self.module, f"service:{host}", "api_call", label, 0.7, url=url, line=str(line))
+        self.edge(self.origin, f"service:{host}", "api_call", label, 0.7, url=url, line=str(line))
 
     def route(self, method: str, route: str, line: int, framework: str, name: str = "") -> None:
         id_ = self.endpoint_id(line)
         self.node(id_, name or f"{method.upper()} {route}", "endpoint", self.language, self.path, method=method, route=route, line=str(line), framework=framework)
-        self.edge(self.module, id_, "api_call", "serves", 0.85)
+        self.edge(self.origin, id_, "api_call", "serves", 0.85)
 
 
 @dataclass(frozen=True)
@@ -63,8 +73,8 @@ class Extractor:
     language: str
     extensions: tuple[str, ...]
     read: Callable[[Found, str], None]
-    #: The node that stands for a file too large to be read.
-    stub: Callable[[Found, dict], None]
+    #: The node that stands for a file too large to be read; None: files of any size are read.
+    stub: Callable[[Found, dict], None] | None
 
 
 REGISTRY: dict[str, Extractor] = {}
@@ -79,10 +89,15 @@ def module_stub(found: Found, properties: dict) -> None:
     found.node(found.module, found.stem, "module", found.language, os.path.dirname(found.path), **properties)
 
 
+def uncapped_stub(found: Found, properties: dict) -> None:
+    """A module_stub that doesn't say what the most was."""
+    module_stub(found, {k: v for k, v in properties.items() if k != "max_capacity"})
+
+
 def rows_of(path: str, rel: str, ext: str, size: int) -> list[tuple]:
     own = REGISTRY[ext]
     found = Found(path, rel, own.language)
-    if size > MAX_BYTES:
+    if own.stub and size > MAX_BYTES:
         own.stub(found, {"skipped": "size", "size_bytes": str(size), "max_capacity": str(MAX_BYTES)})
         return found.rows
     try:

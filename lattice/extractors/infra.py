@@ -20,7 +20,7 @@ def mark_import(found: Found, name: str, packages: dict[str, list[str]], separat
     for kind, (id_, label, edge) in GROUPS.items():
         if any(name == p or name.startswith(p + separator) for p in packages[kind]):
             found.node(id_, label, kind, detected_via=name)
-            found.edge(found.module, id_, edge, label, 0.8)
+            found.edge(found.origin, id_, edge, label, 0.8)
             return
 
 

@@ -1,3 +1,3 @@
 """Imports every extractor, so that all are registered."""
 
-from lattice.extractors import markdown, python  # noqa: F401
+from lattice.extractors import golang, java, markdown, python, rust, typescript  # noqa: F401
