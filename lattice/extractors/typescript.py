@@ -1,7 +1,8 @@
 """TypeScript, TSX and Svelte modules: imports with their names, infrastructure, routes and outbound calls, from tokens.
 
 URLs are read from literals, templates and sums of them; what is only known at run time is a star. Of a Svelte file
-the script blocks count. Relative imports that name a source file of the folder target its module.
+the script blocks count, and the form actions of its markup. Imports that name a source file of the folder, relatively or
+by an alias, target its module.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 
+from lattice.extractors import aliases, nest
 from lattice.extractors.base import Extractor, Found, register
 from lattice.extractors.infra import host_of, mark_import
 from lattice.extractors.lexer import INSERT, Language, Source, insert_end
@@ -16,6 +18,11 @@ from lattice.extractors.lexer import INSERT, Language, Source, insert_end
 LANGUAGE = Language(r'(?P<string>"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\')', templates=True)
 SCRIPT = re.compile(r"(<script\b[^>]*>)(.*?)(</script\s*>)", re.S | re.I)
 NOT_NEWLINE = re.compile(r"[^\n]")
+ACTION = re.compile(r"""(?:^|\s)(?:form)?action\s*=\s*(?:"([^"]*)"|'([^']*)'|\{([^{}]*)\})""")
+QUOTED = re.compile(r"""'[^']*'|"[^"]*\"""")
+ACTION_NAME = re.compile(r"[A-Za-z_$][\w$-]*", re.A)
+FORM = re.compile(r"<form\b([^>]*)>")
+POSTS = re.compile(r"""(?:^|\s)method\s*=\s*["']?post\b""", re.I)
 # Packages of each kind of infrastructure, frameworks, methods, receivers, clients and extensions.
 PACKAGES = {
     "database": ["pg", "knex", "prisma", "@prisma/client", "typeorm", "sequelize", "mongoose", "mongodb", "mysql2", "better-sqlite3", "drizzle-orm", "mikro-orm"],
@@ -47,15 +54,20 @@ def scripts_only(text: str) -> str:
     return "".join([*out, NOT_NEWLINE.sub(" ", text[at:])])
 
 
-def target(found: Found, spec: str) -> str:
+def source_file(base: str) -> str | None:
+    stem, ext = os.path.splitext(base)
+    tried = [base] * (ext in SOURCES) + [stem + e for e in COMPILED.get(ext, [])] + [base + ".ts", base + ".tsx", base + "/index.ts", base + "/index.tsx"]
+    return next(filter(os.path.isfile, tried), None)
+
+
+def target(found: Found, own: list[aliases.Rule], spec: str) -> str:
+    """The module that a specifier names, if a source file of the scanned folder is behind it."""
     if spec in (".", "..") or spec.startswith(("./", "../")):
-        base = os.path.normpath(os.path.join(os.path.dirname(found.path), spec))
-        stem, ext = os.path.splitext(base)
-        tried = [base] * (ext in SOURCES) + [stem + e for e in COMPILED.get(ext, [])] + [base + ".ts", base + ".tsx", base + "/index.ts", base + "/index.tsx"]
-        for path in tried:
-            if path.startswith(found.root + "/") and os.path.isfile(path):
-                return "mod:" + without_extension(path[len(found.root) + 1 :])
-    return f"import:{spec}"
+        bases = [os.path.normpath(os.path.join(os.path.dirname(found.path), spec))]
+    else:
+        bases = aliases.bases(own, spec)
+    path = next(filter(None, map(source_file, bases)), "")
+    return "mod:" + without_extension(path[len(found.root) + 1 :]) if path.startswith(found.root + "/") else f"import:{spec}"
 
 
 def specifiers(src: Source, opening: int) -> list[tuple[str, str]]:
@@ -207,6 +219,31 @@ def kit_routes(found: Found, src: Source) -> None:
                 kit_endpoint(found, "POST", f"POST {route}" + (f"?/{action}" if action != "default" else ""), route, line, action=action)
 
 
+def form_actions(found: Found, text: str) -> None:
+    """An edge to each action that forms of the markup post to: quoted, in an expression of plain strings, or the default
+    of a posting form without action, where no button names another."""
+    markup = SCRIPT.sub(lambda m: NOT_NEWLINE.sub(" ", m[0]), text)
+    uses = []
+    for m in ACTION.finditer(markup):
+        if m[3] is None:
+            uses.append((m.start(), m[1] if m[1] is not None else m[2]))
+        elif not re.search("[`+]", QUOTED.sub("", m[3])):
+            uses += [(m.start(3) + q.start(), q[0][1:-1]) for q in QUOTED.finditer(m[3])]
+    used = []
+    for at, value in uses:
+        page, cut, rest = value.partition("?/")
+        name = ACTION_NAME.match(rest)
+        if cut and name and "{" not in value and (not page or page.startswith("/") and not page.startswith("//")):
+            used.append((at, page, name[0], value))
+    if not re.search(r"\sformaction\s*=", markup):
+        used += [(m.start(), "", "default", "") for m in FORM.finditer(markup) if POSTS.search(m[1]) and not re.search(r"\saction\s*=", m[1])]
+    seen = set()
+    for at, page, name, value in sorted(used):
+        if (page, name) not in seen:
+            seen.add((page, name))
+            found.edge(found.origin, f"action:{page}?/{name}", "api_call", f"POST {page}?/{name}", 0.7, url=value, line=str(1 + markup.count("\n", 0, at)))
+
+
 def stub(found: Found, properties: dict) -> None:
     found.owner = "mod:" + without_extension(found.rel)
     found.node(found.owner, without_extension(os.path.basename(found.rel)), "module", found.language, os.path.dirname(found.path), **properties)
@@ -216,9 +253,12 @@ def read(found: Found, text: str) -> None:
     stub(found, {})
     src = Source(scripts_only(text) if found.rel.endswith(".svelte") else text, LANGUAGE)
     edges: dict[str, tuple[str, dict[str, list[str]]]] = {}
+    if found.rel.endswith(".svelte"):
+        form_actions(found, text)
     refs = statements(src)
+    own_aliases = aliases.rules(found.root, os.path.dirname(found.path)) if refs else []
     for is_export, path, names in refs:
-        _, lists = edges.setdefault(target(found, path), (path, {}))
+        _, lists = edges.setdefault(target(found, own_aliases, path), (path, {}))
         own = lists.setdefault("reexports" if is_export else "names", [])
         own += [n for n in dict.fromkeys(names) if n not in own]
         mark_import(found, path, PACKAGES, "/")
@@ -244,6 +284,8 @@ def read(found: Found, text: str) -> None:
     kit_routes(found, src)
     for _, verb, url, line in sorted(called_out):
         outbound(found, verb, url, line)
+    if framework == "nestjs":
+        nest.read_classes(found, src, framework)
 
 
 def route_rows(found: Found, method: str, route: str, line: int, framework: str) -> list[tuple]:

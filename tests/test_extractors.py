@@ -18,6 +18,12 @@ FILES = {
     "web/x.svelte.ts": "",
     "web/routes/(g)/items/[id]/+server.ts": "export const GET = async () => {}\nexport async function POST() {}\nexport const other = 1\n",
     "web/routes/form/+page.server.ts": "export const actions: Actions = {\n  default: async (e) => {},\n  async save({ request }) {},\n}\n",
+    "web/tsconfig.json": '{ // aliases\n "extends": ["./base"], "compilerOptions": {} }',
+    "web/base.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"~/*": ["./no/*", "./*"]}}}',
+    "web/package.json": '{"imports": {"#lib": {"default": "./lib.ts"}, "no": "./lib.ts"}, "devDependencies": {"@sveltejs/kit": "1"}}',
+    "web/src/lib/index.ts": "",
+    "web/nest.ts": "import { Controller } from '@nestjs/common'\nimport a from '~/lib'\nimport b from '#lib'\nimport c from '$lib'\nimport d from 'no'\n@Controller('cats')\nexport class Cats {\n  constructor(private x: X) {}\n  @Get() @Auth('q')\n  async all(): Promise<{ a: string }> { return @x }\n  @Post(':id')\n  one() {}\n  @Column() name: string\n}\n@Injectable()\nexport class Svc {}\n@Injectable()\nclass Own {}\n",
+    "web/forms.svelte": "<script>const x = '<form method=post>'</script>\n<form method=\"POST\" action=\"?/save\">\n<form action={on ? '/a?/x' : \"/a?/y\"}>\n<form action={`?/${z}`}><form action='//e.org?/q'>\n<form method='post'>\n",
     "web/C.svelte": "<p>don't</p>\n<script lang=\"ts\">\nimport L from './lib'\nfetch('https://s.example.com')\n</script>\n<p>import x from 'y'</p>\n",
 }
 
@@ -89,6 +95,17 @@ def test_svelte(root):
     assert nodes["mod:web/C"][4] == "svelte" and set(edges) == {("mod:web/lib", "dependency"), ("service:s.example.com", "api_call")}
 
 
+def test_aliases_and_nest(root):
+    nodes, edges = found(root, "web/nest.ts")
+    assert {k for k, kind in edges if kind == "dependency"} == {"import:@nestjs/common", "mod:web/lib", "mod:web/src/lib/index", "import:no", "service:web/nest.ts:16", "service:web/nest.ts:17"}
+    assert {(n[2], n[10]["line"]) for n in nodes.values() if n[3] == "endpoint"} == {("GET cats", "10"), ("POST cats/:id", "12")}
+
+
+def test_form_actions(root):
+    _, edges = found(root, "web/forms.svelte")
+    assert {(k, e[10]["line"]) for (k, _), e in edges.items()} == {("action:?/save", "2"), ("action:/a?/x", "3"), ("action:/a?/y", "3"), ("action:?/default", "5")}
+
+
 def test_scan(spark, root):
     g = extract(files.listing(spark, str(root), [*REGISTRY]))
     assert {r["id"] for r in g.nodes.collect()} >= {"pkg:srv/main", "mod:rs/lib", "mod:web/app", "mod:web/C", "mod:src/main/java/com/acme/App"}
