@@ -276,3 +276,17 @@ def test_network_learns_order():
     before = net.score(documents[:1])[0]
     net.train(documents, lanes=8, epochs=8)
     assert net.score(documents[:1])[0] > 0.3 * before > before
+
+
+def test_network_reads_every_training_document(spark):
+    rows = [(k, "a b c d " * 4) for k in range(900)] + [(k, "e f g h " * 3000) for k in range(900, 903)] + [(None, None)]
+    training = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = language_model.word_counts(training)
+    stats = language_model.fit(training, counts)
+    long, _ = language_model.symbols_of(language_model.tokens("e f g h " * 20), stats)
+    untrained = language_model.Network(stats.network.n_words)
+    untrained.start(np.array([0, 904, *[1.0] * stats.network.n_words]))
+    assert stats.network.score([long])[0] > 0.5 * untrained.score([long])[0]  # only long documents have these words
+    assert language_model.train(training, stats) == 3 * len(rows)  # small: read in each round
+    assert language_model.train(training, stats, shard=1000) == len(rows)  # many shards: a slice a round
+    assert np.isfinite(stats.network.score([long])[0])
