@@ -290,3 +290,30 @@ def test_network_reads_every_training_document(spark):
     assert language_model.train(training, stats) == 3 * len(rows)  # small: read in each round
     assert language_model.train(training, stats, shard=1000) == len(rows)  # many shards: a slice a round
     assert np.isfinite(stats.network.score([long])[0])
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    pick = random.Random(8)
+    texts = ["", None, "two words", "two words"]
+    for n in (12, 60, 300, 300):
+        text = [f"w{pick.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(text))
+        for _ in range(25):  # a walk, so that the ends are far apart, and copies of its start
+            text = [w if pick.random() > 0.01 else f"w{pick.randrange(5000)}" for w in text]
+            texts.append(" ".join(text))
+            texts.append(" ".join(texts[-2].split()[: pick.randrange(5 * n // 8, n)]))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    alike = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y)
+    stays = []
+    for k in range(len(texts)):
+        reach, new = {k}, [k]
+        while new:
+            new = [b for b in range(len(texts)) if b not in reach and any(alike(sets[a], sets[b]) for a in new)]
+            reach |= {*new}
+        if k == min(reach):
+            stays.append(k)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == stays
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
