@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,12 +92,16 @@ def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
             if front.isEmpty():
                 break
             back = back.unionByName(front)
+        else:
+            raise RuntimeError("strong components did not settle")
         done = stored(back, "strong")
         found = done if found is None else found.unionByName(done)
         ids = stored(ids.join(done, "id", "left_anti"), "ids")
         if ids.isEmpty():
             break
         left = stored(left.join(done.select(F.col("id").alias("a")), "a", "left_anti").join(done.select(F.col("id").alias("b")), "b", "left_anti"), "edges")
+    else:
+        raise RuntimeError("strong components did not settle")
     low = found.groupBy("color").agg(F.min("id").alias("scc"))
     return found.join(low, "color").select("id", "scc")
 
@@ -120,22 +126,26 @@ def depths(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         now = after.select("id", "depth")
         if after.where("old <> depth").isEmpty():
             break
+    else:
+        raise RuntimeError("depths did not settle")
     return scc.join(now.withColumnRenamed("id", "scc"), "scc").select("id", "depth")
 
 
-def transitive_reduction(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def transitive_reduction(edges: DataFrame) -> DataFrame:
     """Without edges u-v of a type for which v is reachable from u by two or more edges of the type, not by way of u-v."""
     own = stored(edges.select("source", "target", "type").distinct(), "edges")
     step = own.select(F.col("source").alias("mid"), F.col("target").alias("end"), "type")
     grow = lambda ways: ways.withColumnRenamed("target", "mid").join(step, ["mid", "type"]).select("source", F.col("end").alias("target"), "type").where("source <> target").distinct()
     front = stored(grow(own), "ways")
     seen = front
-    for _ in range(rounds):
+    for k in itertools.count(1):  # ends, as there are finitely many pairs
         new = grow(front).join(seen, ["source", "target", "type"], "left_anti")
         front = stored(new, "ways")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if k % 50 == 0:  # else the plan grows with the depth
+            seen = stored(seen, "seen")
     return own.join(seen, ["source", "target", "type"], "left_anti")
 
 
@@ -151,4 +161,6 @@ def k_core(nodes: DataFrame, edges: DataFrame, least: int, rounds: int = 1000) -
             break
         n = now
         left = stored(left.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target"), "edges")
+    else:
+        raise RuntimeError("k-core did not settle")
     return ids

@@ -52,6 +52,19 @@ def test_strong_components(spark):
     assert {r["id"]: r["scc"] for r in kernels.strong_components(e).collect()} == dict(a="a", b="a", c="a", d="d", e="d", f="f")
 
 
+def test_transitive_reduction_of_deep_graphs(spark):
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(54)]
+    found = kernels.transitive_reduction(edges(spark, [*chain, ("n0", "n54")])).collect()
+    assert sorted((r["source"], r["target"]) for r in found) == sorted(chain)
+
+
+def test_kernels_say_when_rounds_run_out(spark):
+    chain = edges(spark, [("a", "b"), ("b", "c"), ("c", "d")])
+    nodes = spark.createDataFrame([(x,) for x in "abcd"], "id string")
+    with pytest.raises(RuntimeError):
+        kernels.k_core(nodes, chain, 2, rounds=1)
+
+
 def test_imports_take_the_longest_tail(spark):
     nodes = spark.createDataFrame([("pkg:x", "model"), ("pkg:y", "internal/model"), ("pkg:a", "internal/model")], "id string, path string")
     wanted = spark.createDataFrame([("import:host/internal/model",), ("import:other/model",), ("import:none",)], "target string")
