@@ -26,10 +26,10 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lattice-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a written table; a lost executor loses none of it. clear() removes it."""
     path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
