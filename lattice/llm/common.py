@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattice.storage import shared_dir, stored  # noqa: F401  the operators take them from here
+
 #: The white space that ends a word: space and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,21 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="lattice-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@functools.cache
+def one_blas_thread() -> None:
+    """Matrix products of this process by one thread: a task has one core, and threads that wait for small products
+    take the time of other tasks."""
+    try:
+        with open("/proc/self/maps") as f:
+            found = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:  # not Linux: threads stay as they are
+        return
+    for path in found:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
+def row_key() -> Column:
+    """A hash of a row's doc_id and text, so that rows that share an id, or have none, are told apart."""
+    return F.xxhash64("doc_id", "text")
 
 
 def remainder(key: str, n: int) -> Column:
