@@ -6,12 +6,14 @@ documents only. A two-label chain (other, toxic) is trained on windows around su
 exact forward-backward gradients in numpy. Only features of those windows have weights, so the bound of the sample
 bounds the model that goes to the tasks.
 
-Scoring runs forward-backward over a whole text in windows of 64 tokens. A document's score is a logistic function of
-its largest marginal log-odds and its expected number of toxic tokens; tokens over one half give the offending spans.
+Scoring runs forward-backward over a whole text as one chain: windows of 64 tokens of all texts are worked on side by
+side, and the messages that cross their borders come from the products of the windows' transfer matrices. A document's
+score is a logistic function of its largest marginal log-odds and its expected number of toxic tokens; tokens over one
+half give the offending spans.
 
 The model is fitted on at most SAMPLE labelled documents of each class of at most SAMPLE_CHARS characters, chosen by a
-hash; everything is scored. Of several texts of one labelled doc_id the smallest is learned from. Null and empty texts have no tokens and get the score of no evidence. Without labels of
-both classes every score is 0. Of repeated labels of a document, toxic wins. Repeated rows are scored one by one.
+hash; everything is scored. Of several texts of one labelled doc_id the smallest is learned from. Null and empty texts
+have no tokens and get the score of no evidence. Without labels of both classes every score is 0. Of repeated labels of a document, toxic wins. Repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lattice.llm.common import portions, remainder, table
 
@@ -50,7 +53,7 @@ class Model:
 
 
 class Emissions(dict):
-    def __init__(self, model: Model, limit: int = 500_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         super().__init__()
         self.model, self.limit = model, limit
 
@@ -61,31 +64,74 @@ class Emissions(dict):
         return value
 
 
-def marginals(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Log-odds of the toxic label by forward-backward, for windows (rows) of emission scores."""
-    t, e = np.exp(moves), np.exp(np.clip(scores, -30, 30))
-    n = scores.shape[1]
-    ahead, behind = np.empty_like(e), np.empty_like(e)
-    r = ahead[:, 0] = e[:, 0]
-    for k in range(1, n):
-        r = ahead[:, k] = e[:, k] * (r * t[1, 1] + t[0, 1]) / (r * t[1, 0] + t[0, 0])
-    b = behind[:, -1] = 1.0
-    for k in range(n - 2, -1, -1):
-        x = e[:, k + 1] * b
-        b = behind[:, k] = (t[1, 1] * x + t[1, 0]) / (t[0, 1] * x + t[0, 0])
-    return np.log(np.maximum(ahead, 1e-300)) + np.log(behind)
+def _after(odds: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Odds of the label at a token, taken one transition on."""
+    return (odds * t[1, 1] + t[0, 1]) / (odds * t[1, 0] + t[0, 0])
+
+
+def _before(odds: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return (odds * t[1, 1] + t[1, 0]) / (odds * t[0, 1] + t[0, 0])
+
+
+def _transfers(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """For each window (row) of emission odds the matrix that takes odds before it to odds behind it, up to a factor."""
+    m = np.broadcast_to(np.eye(2), (len(e), 2, 2)).copy()
+    for k in range(e.shape[1]):
+        toxic, other = e[:, k, None] * m[:, 0], m[:, 1]
+        m = np.stack([t[1, 1] * toxic + t[0, 1] * other, t[1, 0] * toxic + t[0, 0] * other], 1)
+        m /= m.sum((1, 2), keepdims=True)
+    return m
 
 
 def document_marginals(lists: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
-    """Marginal log-odds of each document's tokens."""
-    counts = [-(-len(x) // WINDOW) for x in lists]
-    flat = np.full((sum(counts), WINDOW), -20.0)
-    starts = np.cumsum([0, *counts]) * WINDOW
-    line = flat.reshape(-1)
-    for x, at in zip(lists, starts):
-        line[at : at + len(x)] = x
-    out = marginals(flat, moves).reshape(-1) if len(flat) else line
-    return [out[at : at + len(x)] for x, at in zip(lists, starts)]
+    """Marginal log-odds of the toxic label of each document's tokens; a document is one chain."""
+    lists = [np.asarray(x, float) for x in lists]
+    counts = np.array([-(-len(x) // WINDOW) for x in lists], np.int64)
+    if not counts.sum():
+        return [np.zeros(0) for _ in lists]
+    t = np.exp(moves)
+    flat, real = np.zeros((int(counts.sum()), WINDOW)), np.zeros((int(counts.sum()), WINDOW), bool)
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    for x, at in zip(lists, starts * WINDOW):
+        flat.reshape(-1)[at : at + len(x)] = np.clip(x, -30, 30)
+        real.reshape(-1)[at : at + len(x)] = True
+    e = np.exp(flat)
+    front, back = np.ones(len(e)), np.ones(len(e))  # odds that come into a window from the left, and into its last token
+    if counts.max() > 1:
+        inner = np.ones(len(e), bool)
+        inner[ends[counts > 0] - 1] = False  # a document's last window passes nothing on
+        m = np.zeros((len(e), 2, 2))
+        m[inner] = _transfers(e[inner], t)
+        last = _backward(e[ends[counts > 0] - 1], real[ends[counts > 0] - 1], np.ones(int((counts > 0).sum())), t)[:, 0] * e[ends[counts > 0] - 1, 0]
+        reach = dict(zip((ends[counts > 0] - 1).tolist(), last.tolist()))
+        for first, end in zip(starts.tolist(), ends.tolist()):
+            if end - first > 1:
+                odds = 1.0
+                for w in range(first, end - 1):
+                    (a, b), (c, d) = m[w]
+                    odds = front[w + 1] = (a * odds + b) / (c * odds + d)
+                odds = reach[end - 1]  # of a window's first token with all behind it
+                for w in range(end - 2, first - 1, -1):
+                    back[w] = (odds * t[1, 1] + t[1, 0]) / (odds * t[0, 1] + t[0, 0])
+                    (a, b), (c, d) = m[w]
+                    odds = (a * odds + c) / (b * odds + d)
+    ahead = np.empty_like(e)
+    odds = ahead[:, 0] = front * e[:, 0]
+    for k in range(1, WINDOW):
+        odds = ahead[:, k] = e[:, k] * _after(odds, t)
+    out = np.log(np.maximum(ahead, 1e-300)) + np.log(_backward(e, real, back, t))
+    line = out.reshape(-1)
+    return [line[at : at + len(x)] for x, at in zip(lists, starts * WINDOW)]
+
+
+def _backward(e: np.ndarray, real: np.ndarray, back: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Odds that come to each token from behind it; back: to each window's last token. Padding passes nothing on."""
+    out = np.empty_like(e)
+    odds = out[:, -1] = back
+    for k in range(e.shape[1] - 2, -1, -1):
+        odds = out[:, k] = np.where(real[:, k + 1], _before(e[:, k + 1] * odds, t), 1.0)
+    return out
 
 
 def evidence(odds: np.ndarray) -> tuple[float, float]:
@@ -122,8 +168,11 @@ def train(texts: list[str], toxic: list[int], weight: tuple[float, float] = (1.0
     rows, tags = [], []
     for own, label in zip(words, toxic):
         y = [int(bool(label) and any(f in marking for f in features(w))) for w in own]
-        at = [i for i, v in enumerate(y) if v]
-        starts = [max(0, i - TRAIN_WINDOW // 2) for i in at[:4]] + ([int(rng.integers(0, len(own)))] * 2 if own else [])
+        starts = []
+        for i in np.flatnonzero(y).tolist():  # all marked tokens, each in a window
+            if not starts or i >= starts[-1] + TRAIN_WINDOW:
+                starts.append(max(0, i - TRAIN_WINDOW // 2))
+        starts += rng.integers(0, len(own), 2).tolist() if own else []
         for s in starts:
             part = own[s : s + TRAIN_WINDOW]
             pad = TRAIN_WINDOW - len(part)
@@ -184,7 +233,7 @@ def gradient(scores: np.ndarray, moves: np.ndarray, y: np.ndarray) -> tuple[np.n
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
-    """Two slopes and a constant by Newton steps with a small ridge."""
+    """Two slopes and a constant by Newton steps, with a small quadratic penalty."""
     x1, w = np.c_[x, np.ones(len(x))], np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
@@ -213,21 +262,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], tuple(total[x] / n[x] / (total[0] + total[1]) * len(rows) for x in (0, 1)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted (1 at a score of one half or more) and the toxic spans in characters."""
+def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
+    """doc_id, score, predicted (1 at a score of one half or more) and the toxic spans in characters. With carry a
+    struct row of docs' own columns stands in place of doc_id, so that a verdict stays with its row."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    fields = [("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("spans", span)]
+    fields = [("score", pa.float64()), ("predicted", pa.int32()), ("spans", span)]
     a, b, c = model.logistic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Emissions(model)
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), (t or "" for t in batch.column(1).to_pylist()))
-            for part in portions(rows, lambda r: len(r[1]) + 100, 4_000_000):
+            key, at = batch.column(0), 0
+            texts = key.field("text") if carry else batch.column(1)
+            for part in portions((t or "" for t in texts.to_pylist()), lambda t: len(t) + 100, 2_000_000):
                 # Lower-casing may change a text's length; spans are found in the text as it is.
-                lists = [np.array([*map(cache.__getitem__, WORDS.findall(t.lower()))], float) for _, t in part]
+                lists = [np.array([*map(cache.__getitem__, WORDS.findall(t.lower()))], float) for t in part]
                 out = []
-                for (doc, text), odds in zip(part, document_marginals(lists, model.moves)):
+                for text, odds in zip(part, document_marginals(lists, model.moves)):
                     x, y = evidence(odds)
                     p = float(1 / (1 + np.exp(-np.clip(a * x + b * y + c, -700, 700))))
                     spans = []
@@ -235,10 +286,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         places = [*WORDS.finditer(text)]
                         if len(places) == len(odds):
                             spans = [{"start": places[k].start(), "end": places[k].end()} for k in np.flatnonzero(odds > 0)]
-                    out.append((doc, p, int(p >= 0.5), spans))
-                yield pa.RecordBatch.from_arrays([pa.array(col, f[1]) for col, f in zip(zip(*out), fields)], names=[f[0] for f in fields])
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int, spans array<struct<start: int, end: int>>")
+                    out.append((p, int(p >= 0.5), spans))
+                columns = [pa.array(col, f[1]) for col, f in zip(zip(*out), fields)]
+                yield pa.RecordBatch.from_arrays([key.slice(at, len(part)), *columns], names=[key_name, *(f[0] for f in fields)])
+                at += len(part)
+
+    key_name = "row" if carry else "doc_id"
+    given = docs.select(F.struct("*").alias("row")) if carry else docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    made = StructType.fromDDL("score double, predicted int, spans array<struct<start: int, end: int>>")
+    return given.mapInArrow(run, StructType([given.schema[0], *made.fields]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
