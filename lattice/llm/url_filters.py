@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,26 +62,39 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+class Sweep:
+    """One pass over rules and pages in key order (rules before the pages of their key); the stack holds the rules whose
+    interval is open, and nothing else is kept."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, Rule]] = []
+
+    def _close(self, key: str) -> None:
+        while self.stack and not key.startswith(self.stack[-1][0]):
+            self.stack.pop()
+
+    def rule(self, key: str, rule: Rule) -> None:
+        self._close(key)
+        self.stack.append((key, rule))
+
+    def page(self, key: str, path: str) -> Rule | None:
+        if not key:
+            return None
+        self._close(key)
+        fits = [r for _, r in self.stack if path.startswith(r.path)]
+        return max(fits, key=lambda r: (len(r.text), len(r.host), r.verdict)) if fits else None
+
+
 def sweep(keys: list[str], paths: list[str], rules: list[Rule]) -> list[Rule | None]:
-    """The deciding rule of each page, by one pass over pages and rules in key order."""
+    """The deciding rule of each page."""
     opening = sorted(((host_key(r.host), r) for r in rules), key=lambda x: x[0])
     out: list[Rule | None] = [None] * len(keys)
-    stack: list[tuple[str, Rule]] = []
-    k = 0
+    own, k = Sweep(), 0
     for i in sorted(range(len(keys)), key=keys.__getitem__):
-        key = keys[i]
-        if not key:
-            continue
-        while k < len(opening) and opening[k][0] <= key:
-            while stack and not opening[k][0].startswith(stack[-1][0]):
-                stack.pop()
-            stack.append(opening[k])
+        while k < len(opening) and opening[k][0] <= keys[i]:
+            own.rule(*opening[k])
             k += 1
-        while stack and not key.startswith(stack[-1][0]):
-            stack.pop()
-        fits = [r for _, r in stack if paths[i].startswith(r.path)]
-        if fits:
-            out[i] = max(fits, key=lambda r: (len(r.text), len(r.host), r.verdict))
+        out[i] = own.page(keys[i], paths[i])
     return out
 
 
@@ -111,22 +125,37 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", max_s
 
 
 def _ranged(keyed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """Pages and rules in ranges of keys. A hot host's pages spread by path and id; rules open at a range's start are
-    ancestors of its first key, and few."""
+    """Pages and rules in ranges of keys, swept as a stream. A hot host's pages spread by path and id; rules open at a
+    range's start are ancestors of its first key, and few."""
     both = keyed.select("key", "page_id", "host", "path", F.lit(None).cast("string").alias("verdict")).unionByName(
         rules.select("key", F.lit(None).cast("bigint").alias("page_id"), "host", "path", "verdict"))
     ranged = stored(both.repartitionByRange("key", "path", "page_id").withColumn("part", F.spark_partition_id()), "urls")
-    ends = ranged.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    ends = ranged.groupBy("part").agg(F.min("key").alias("low"))
     labels = F.split(F.col("low"), r"\.")
     ancestors = ends.select("part", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit(".")))).alias("key"))
-    carried = ancestors.join(rules, "key").select("part", "key", F.lit(None).cast("bigint").alias("page_id"), "host", "path", "verdict")
-
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        is_rule = pdf["verdict"].notna()
-        own = [Rule(*x) for x in dict.fromkeys(zip(pdf["host"][is_rule], pdf["path"][is_rule], pdf["verdict"][is_rule]))]
-        return _judged(pdf[~is_rule], own, default)
-
-    return ranged.unionByName(carried).groupBy("part").applyInPandas(run, SCHEMA)
+    carried = ancestors.join(rules, "key").select("key", F.lit(None).cast("bigint").alias("page_id"), "host", "path", "verdict", "part")
+    # A rule of the first key itself may lie in the range, too, and one key may span ranges: a rule is there once.
+    own = ranged.where("verdict is not null").select(*carried.columns).unionByName(carried).distinct()
+    every = ranged.where("verdict is null").select(*carried.columns).unionByName(own)
+
+    types, names = [pa.int64(), *[pa.string()] * 4], ["page_id", "host", "path", "rule", "verdict"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now = None, Sweep()
+        for batch in batches:
+            out = []
+            for key, page, host, path, verdict, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != at:
+                    at, now = part, Sweep()
+                if verdict is not None:
+                    now.rule(key, Rule(host, path, verdict))
+                else:
+                    r = now.page(key, path)
+                    out.append((page, host, path, r.text if r else None, r.verdict if r else default))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return every.repartition("part").sortWithinPartitions("part", "key", F.col("verdict").isNull()).mapInArrow(run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
