@@ -1,29 +1,38 @@
 """Edit-aware token counts.
 
-A document's pre-tokens are the leaves of a segment tree whose nodes sum token counts and character counts. An edit
-(start, end, replacement, in characters) descends the tree to the first pre-token it touches, steps two pre-tokens
-back (a match of the pattern reads no further than two characters past its end's white space), splits from there
-until a boundary behind the edit meets an old boundary, encodes only those pre-tokens and updates the sums above them.
-
-Null and empty texts have no tokens. Edits refer to the original text and may not overlap; of overlapping ones the
-first stays. Edits beyond the end are clipped. Texts are counted whole; repeated rows are counted one by one.
+A document's pre-tokens are the leaves of a segment tree whose nodes sum token counts and character counts. Trees are
+kept: plant() tokenises texts once and gives a table of trees (text, and each leaf's characters and tokens), which is
+stored; apply() takes edits to it and gives the next table, so that later edits start from there. Only documents with
+edits are touched; of those only the regions that the edits touch are encoded again. An edit (start, end, replacement,
+in characters) descends the tree to the first pre-token it touches, steps two pre-tokens back (a match of the pattern
+reads no further than two characters past its end's white space), splits from there until a boundary behind the edit
+meets an old boundary, encodes only those pre-tokens and updates the sums above them.
+
+Null and empty texts have no tokens. Edits refer to the text of the tree that they are applied to and may not overlap;
+of overlapping ones the first stays. Edits beyond the end are clipped; those with a null start or end are passed over,
+and a null replacement is the empty one. Texts are counted whole. Of repeated rows each has its own tree and gets all
+edits of its doc_id; edits with a null doc_id go to the rows without one.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattice.llm.byte_bpe import read_ranks
-from lattice.llm.common import Cache, portions, table
+from lattice.llm.common import Cache, cut_at, portions, stored, table
 from lattice.llm.pretokens import splitter
 
 Edit = tuple[int, int, str]
+#: A kept tree: lengths and counts are those of its leaves, as little-endian unsigned 32-bit integers.
+TREES = "doc_id bigint, text string, lengths binary, counts binary, n_tokens bigint"
+EDITED = f"{TREES}, n_before bigint, n_edits bigint, n_encoded bigint"
 #: What the query masks: secrets, e-mail addresses, IPv4 addresses and long runs of digits.
 MASKS = [
     ("=", regex.compile(r'\b(?:token|secret|password|api_key)\s*=\s*"[^"\n]+"'), "<SECRET>"),
@@ -40,13 +49,14 @@ def masks(text: str) -> list[Edit]:
 class Tree:
     """Sums over pre-token slots. A slot holds the pre-tokens that stand where one stood; edits change slots in place."""
 
-    def __init__(self, tokens: list[str], split: Callable[[str], list[str]], count: Callable[[list[str]], list[int]]):
+    def __init__(self, tokens: list[str], split: Callable[[str], list[str]], count: Callable[[list[str]], list[int]], counts: Sequence[int] | None = None):
+        """counts: what is known of the tokens' counts, so that nothing is encoded."""
         self.split, self.count = split, count
         self.slots: list = [*tokens]
         n = len(self.slots)
         self.size = 1 << max(0, n - 1).bit_length()
         self.sums = np.zeros((2, 2 * self.size), np.int64)
-        self.sums[0, self.size : self.size + n] = count(self.slots)
+        self.sums[0, self.size : self.size + n] = count(self.slots) if counts is None else counts
         self.sums[1, self.size : self.size + n] = list(map(len, self.slots))
         half = self.size
         while half > 1:
@@ -141,6 +151,10 @@ class Tree:
     def current(self) -> list[str]:
         return [t for k in range(len(self.slots)) for t in self.at(k)]
 
+    def leaves(self) -> tuple[bytes, bytes]:
+        """Characters and tokens of the pre-tokens as they are now, as kept in a table."""
+        return _packed(map(len, own := self.current())), _packed(self.count(own))
+
 
 class Counter:
     def __init__(self, path: str, pattern: str):
@@ -163,30 +177,69 @@ def counter(path: str, pattern: str) -> Counter:
     return Counter(path, pattern)
 
 
-def recount(docs: DataFrame, path: str, pattern: str, edits_of: Callable[[str], list[Edit]] | None = masks, edits_column: str | None = None) -> DataFrame:
-    """Token counts before and after edits, which edits_of finds in a text, or which edits_column holds as an array of
-    struct(start, end, replacement)."""
-    names = ["doc_id", "n_tokens", "n_edits", "n_encoded", "n_tokens_after"]
+def _packed(numbers: Iterable[int]) -> bytes:
+    return np.fromiter(numbers, "<u4").tobytes()
+
+
+def plant(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The trees of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, pattern)
         for batch in batches:
-            given = batch.column(2).to_pylist() if edits_column else [None] * len(batch)
-            rows = zip(batch.column(0).to_pylist(), (t or "" for t in batch.column(1).to_pylist()), given)
-            for part in portions(rows, lambda r: len(r[1]) + 100, 4_000_000):
-                out = []
-                tokens = [own.split(text) for _, text, _ in part]
+            at = 0
+            for part in portions((t or "" for t in batch.column(1).to_pylist()), lambda t: len(t) + 100, 4_000_000):
+                tokens = [own.split(t) for t in part]
                 own.cache.learn(tokens)
-                for (doc, text, edits), split in zip(part, tokens):
-                    tree = Tree(split, own.split, own.count)
-                    before = tree.n_tokens
-                    edits = [(e["start"], e["end"], e["replacement"] or "") for e in edits or () if e] if edits_column else edits_of(text)
-                    n = tree.edit_all(edits) if edits else 0
-                    out.append((doc, before, n, tree.encoded, tree.n_tokens))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
-
-    columns = ["cast(doc_id as bigint) doc_id", "text"] + [f"`{edits_column}` edits"] * bool(edits_column)
-    return docs.selectExpr(*columns).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+                counts = [np.array(own.count(x), "<u4") for x in tokens]
+                columns = [pa.array(part, pa.string()), pa.array([_packed(map(len, x)) for x in tokens], pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array([int(c.sum()) for c in counts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *columns], names=[c.split()[0] for c in TREES.split(", ")])
+                at += len(part)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, TREES)
+
+
+def _edited(trees: DataFrame, path: str, pattern: str, edits_of: Callable[[str, list], list[Edit]], given: bool) -> DataFrame:
+    types = [pa.int64(), pa.string(), pa.binary(), pa.binary()] + [pa.int64()] * 4
+    names = [c.split()[0] for c in EDITED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(path, pattern)
+        for batch in batches:
+            edits = batch.column(5).to_pylist() if given else [None] * len(batch)
+            out = []
+            for k, (text, before, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), edits)):
+                asked = edits_of(text, found)
+                doc, lengths, counts = (batch.column(c)[k].as_py() for c in (0, 2, 3))
+                if not asked:
+                    out.append((doc, text, lengths, counts, before, before, 0, 0))
+                    continue
+                tree = Tree(cut_at(text, np.frombuffer(lengths, "<u4").tolist()), own.split, own.count, np.frombuffer(counts, "<u4"))
+                n = tree.edit_all(asked)
+                out.append((doc, "".join(tree.current()), *tree.leaves(), tree.n_tokens, before, n, tree.encoded))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return trees.mapInArrow(run, EDITED)
+
+
+def apply(trees: DataFrame, edits: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The trees after edits (doc_id, start, end, replacement): their columns, and n_before, n_edits and n_encoded.
+    Trees without edits don't leave the JVM."""
+    each = edits.where("start is not null and end is not null").select(F.col("doc_id").cast("bigint").alias("of"), F.struct("start", "end", F.coalesce("replacement", F.lit("")).alias("replacement")).alias("e"))
+    by_doc = each.groupBy("of").agg(F.collect_list("e").alias("edits"))
+    met = trees.select([c.split()[0] for c in TREES.split(", ")]).join(by_doc, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
+    met = stored(met, "trees-and-edits", "zstd")
+    touched = _edited(met.where("edits is not null"), path, pattern, lambda _, found: [(e["start"], e["end"], e["replacement"]) for e in found], True)
+    rest = met.where("edits is null").drop("edits").select("*", F.col("n_tokens").alias("n_before"), F.lit(0).cast("bigint").alias("n_edits"), F.lit(0).cast("bigint").alias("n_encoded"))
+    return rest.unionByName(touched)
+
+
+def recount(docs: DataFrame, path: str, pattern: str, edits_of: Callable[[str], list[Edit]] = masks) -> DataFrame:
+    """doc_id, n_tokens, n_edits, n_encoded (pre-tokens) and n_tokens_after, of edits that edits_of finds in a text."""
+    trees = stored(plant(docs, path, pattern), "trees", "zstd")
+    after = _edited(trees, path, pattern, lambda text, _: edits_of(text), False)
+    return after.select("doc_id", F.col("n_before").alias("n_tokens"), "n_edits", "n_encoded", F.col("n_tokens").alias("n_tokens_after"))
 
 
 def query(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
