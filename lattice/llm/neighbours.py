@@ -1,16 +1,19 @@
 """Nearest neighbours by collision counting over single-projection sorted arrays.
 
-Vectors, scaled to length one, are projected on M fixed random lines; each line keeps a sorted array. A query's window
-on every line is centred on its own projection and widened step by step (virtual rehashing: nothing is hashed anew).
-A vector that has fallen into at least THRESHOLD of the windows is a candidate; widening stops when a block has enough
-candidates for the number wanted plus BETA of its vectors. Candidates are verified by the exact cosine in double
-precision of the original vectors, largest first, ties to the smaller id.
-
-Vectors are dealt into blocks of bounded size by a hash of their id, queries likewise, and each pair of blocks is one
-group, so that memory doesn't depend on the table. Equal vectors in a block are one indexed vector that stands for its
-smallest ids, as many as could be returned; the others of its ids could not be.
-
-Vectors that are null, zero or hold null or non-finite components take no part. Vectors of different lengths are not
+Vectors, scaled to length one, are projected on M fixed lines (random orthonormal bases, so that a base's lines carry
+different evidence); each line keeps a sorted array. A query's window on every line is centred on its own projection and
+widened step by step (virtual rehashing: nothing is hashed anew). A vector that has fallen into at least THRESHOLD of
+the windows is a candidate; widening stops when a block has enough candidates for the number wanted plus LEAST and BETA
+of its vectors. Candidates are verified by the exact cosine in double precision of the original vectors, largest first, ties
+to the smaller id.
+
+Vectors are dealt into blocks of bounded size by a hash of their id and are indexed once for up to QUERY_BLOCK queries;
+more queries form more blocks of queries, and each pair of blocks is one group, so that memory doesn't depend on the
+table. Equal vectors in a block are one indexed vector that stands for its smallest ids, as many as could be returned;
+the others of its ids could not be.
+
+Vectors that are null, zero or hold null or non-finite components take no part. Components of any size are fine: vectors
+are scaled by powers of two before they are multiplied, which changes no cosine. Vectors of different lengths are not
 compared. A repeated id with an equal vector counts once. Queries with fewer candidates than wanted get them all.
 """
 
@@ -23,9 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattice.llm.common import table
+from lattice.llm.common import one_blas_thread, table
 
-M, THRESHOLD, BETA, STEP, BLOCK, QUERY_BLOCK = 64, 0.85, 0.18, 0.05, 4096, 2048
+M, THRESHOLD, BETA, LEAST, BEGIN, BLOCK, QUERY_BLOCK = 128, 0.7, 0.05, 32, 0.75, 8192, 16_384
+#: Half widths of the windows; projections of vectors of length one lie between -1 and 1.
+WIDTHS = 0.002 * 1.05 ** np.arange(143)
 SCHEMA = "query_id bigint, vec_id bigint, score double"
 
 
@@ -34,41 +39,50 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
+def lines(dim: int, m: int, seed: int = 7) -> np.ndarray:
+    """m lines as columns: random orthonormal bases, the last one in part."""
+    rng = np.random.default_rng(seed)
+    bases = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-m // dim))]
+    return np.concatenate(bases, 1)[:, :m]
+
+
 class Index:
-    """Of one block's distinct vectors."""
+    """Of one block's distinct vectors. All lines' sorted arrays lie end to end, 8 apart, so that one search finds the
+    ends of a query's windows on all of them."""
 
-    def __init__(self, vectors: np.ndarray, m: int = M, seed: int = 7):
-        self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], m)).astype(np.float32)
+    def __init__(self, vectors: np.ndarray, m: int = M):
+        self.n, self.m, self.lines = len(vectors), m, lines(vectors.shape[1], m)
         on = (vectors @ self.lines).T
-        self.order = np.argsort(on, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(on, self.order.astype(np.int64), 1))
+        order = np.argsort(on, axis=1, kind="stable")
+        self.order = order.reshape(-1)
+        self.shift = 8.0 * np.arange(m)
+        self.sorted = (np.take_along_axis(on, order, 1) + self.shift[:, None]).reshape(-1)
+
+    def windows(self, centres: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.searchsorted(self.sorted, np.concatenate([centres - WIDTHS[step], centres + WIDTHS[step]]))
+        return ends[: self.m], ends[self.m :]
 
-    def candidates(self, queries: np.ndarray, want: int, threshold: float, step: float):
+    def candidates(self, queries: np.ndarray, want: int, threshold: float):
         """For each query, the numbers of vectors that collide often enough."""
-        m, n = self.order.shape
-        need, on = math.ceil(threshold * m), queries @ self.lines
-        widths = step * 1.1 ** np.arange(64)
-        for q in on:
-            counts = np.zeros(n, np.int64)
-            # where each line's window of each width begins and ends
-            ends = np.stack([np.searchsorted(line, np.concatenate([c - widths, c + widths])) for line, c in zip(self.sorted, q)])
-            low, high = ends[:, : len(widths)], ends[:, len(widths) :]
-            at = int(np.argmax((high - low).sum(0) >= 0.75 * need * n)) if n > want else len(widths) - 1
-            a = b = None
-            while True:
-                if a is None:
-                    new = [o[x:y] for o, x, y in zip(self.order, low[:, at], high[:, at])]
+        need, last = math.ceil(threshold * self.m), len(WIDTHS) - 1
+        for centres in queries @ self.lines + self.shift:
+            low, high = 0, last  # begin where all together collide nearly as often as needed; less isn't enough
+            while low < high:
+                middle = (low + high) // 2
+                a, b = self.windows(centres, middle)
+                if (b - a).sum() >= BEGIN * need * self.n:
+                    high = middle
                 else:
-                    new = [o[x:y] for o, x, y in zip(self.order, low[:, at], a)] + [o[x:y] for o, x, y in zip(self.order, b, high[:, at])]
-                a, b = low[:, at], high[:, at]
-                counts += np.bincount(np.concatenate(new), minlength=n)
-                found = np.flatnonzero(counts >= need)
-                if len(found) >= min(want, n) or at == len(widths) - 1:
-                    break
-                at += 1
-            if len(found) < min(want, n):  # wider than any distance: all collide
-                found = np.arange(n)
-            yield found
+                    low = middle + 1
+            step, (a, b) = low, self.windows(centres, low)
+            counts = np.bincount(np.concatenate([self.order[x:y] for x, y in zip(a.tolist(), b.tolist())]), minlength=self.n)
+            while np.count_nonzero(counts >= need) < min(want, self.n) and step < last:
+                step += 1
+                c, d = self.windows(centres, step)
+                more = [self.order[x:y] for x, y in zip(c.tolist(), a.tolist())] + [self.order[x:y] for x, y in zip(b.tolist(), d.tolist())]
+                counts += np.bincount(np.concatenate(more), minlength=self.n)
+                a, b = c, d
+            yield np.flatnonzero(counts >= need) if step < last else np.arange(self.n)  # wider than any distance
 
 
 def _rows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -88,17 +102,18 @@ def search_block(queries: pd.DataFrame, data: pd.DataFrame, k: int, threshold: f
     by = np.argsort(inverse, kind="stable")  # ids ascend within a vector
     bounds = np.searchsorted(inverse[by], np.arange(len(distinct) + 1))
     holders = [list(dict.fromkeys(ids[by[a:b]].tolist()))[: k + 1] for a, b in zip(bounds, bounds[1:])]
+    even = lambda x: np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])  # noqa: E731  exact, and nothing overflows
     lengths = lambda x: np.sqrt((x * x).sum(1))
+    one_blas_thread()
+    distinct, asked, plain = even(distinct), even(asked), asked
     n_v, n_q = lengths(distinct), lengths(asked)
-    scaled = lambda x: x / np.abs(x).max(1)[:, None]  # noqa: E731  no overflow on the way to length one
-    unit = lambda x: ((y := scaled(x)) / lengths(y)[:, None]).astype(np.float32)
     out = []
-    found_by = Index(unit(distinct)).candidates(unit(asked), k + 1 + math.ceil(beta * len(distinct)), threshold, STEP)
+    found_by = Index(distinct / n_v[:, None]).candidates(asked / n_q[:, None], k + 1 + LEAST + math.ceil(beta * len(distinct)), threshold)
     done = set()
-    for qid, q, nq, found in zip(query_ids.tolist(), asked, n_q, found_by):
-        if (qid, q.tobytes()) in done:
+    for qid, own, q, nq, found in zip(query_ids.tolist(), plain, asked, n_q, found_by):
+        if (qid, own.tobytes()) in done:
             continue
-        done.add((qid, q.tobytes()))
+        done.add((qid, own.tobytes()))
         scores = (distinct[found] * q).sum(1) / (n_v[found] * nq)
         if len(found) > 4 * k:
             near = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
