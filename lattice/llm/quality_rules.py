@@ -7,7 +7,8 @@ are made once a row.
 Windows of five words are compared as 64-bit hashes first; equal windows have equal hashes, so a text without equal
 hashes has no repeated window. Only the other texts compare the windows themselves.
 
-A null or empty text has no words: all counts are 0 and it fails. Repeated rows and other columns don't matter.
+A null or empty text has no words: all counts are 0 and it fails. Repeated rows are judged one by one; other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -74,8 +75,9 @@ def _repeated(words: Column, n: Column) -> Column:
     return F.when(n < 6, F.lit(0).cast("bigint")).otherwise(F.when(some, exact()).otherwise(F.lit(0).cast("bigint")))
 
 
-def judge(docs: DataFrame, limits: list[Limit] = LIMITS, stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """doc_id, the counts, the ratios of the table, base_failed and kept. Thresholds that are None don't hold."""
+def judge(docs: DataFrame, limits: list[Limit] = LIMITS, stop_words: list[str] = STOP_WORDS, carry: bool = False) -> DataFrame:
+    """doc_id, the counts, the ratios of the table, base_failed and kept. Thresholds that are None don't hold. With
+    carry a struct row of docs' own columns stands in place of doc_id, so that a verdict stays with its row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # Of \r, \x0b and \x0c only those of WORD end a word; split() drops nothing, so empty strings are filtered out.
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -99,7 +101,8 @@ def judge(docs: DataFrame, limits: list[Limit] = LIMITS, stop_words: list[str] =
             F.size(F.filter(x, lambda s: s.rlike(r"(\.\.\.|…)\s*$"))).alias("ellipses"),
         )
 
-    made = docs.select("doc_id", bind(words, of_words).alias("w"), bind(lines, of_lines).alias("l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"))
+    key = F.struct("*").alias("row") if carry else F.col("doc_id")
+    made = docs.select(key, bind(words, of_words).alias("w"), bind(lines, of_lines).alias("l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"))
     n, n_lines = F.greatest(F.col("w.n_words"), F.lit(1)), F.greatest(F.col("l.n"), F.lit(1))
     ratios = {
         "mean_word_length": F.col("w.word_chars") / n,
@@ -116,8 +119,35 @@ def judge(docs: DataFrame, limits: list[Limit] = LIMITS, stop_words: list[str] =
             if bound is not None:
                 fits &= holds(ratios[x.ratio], F.lit(bound))
     failed = (F.col("w.n_words") < 10) | (100 * F.col("w.n_repeat_words") > 20 * F.col("w.n_words"))
-    return made.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", F.col("l.duplicates").alias("n_dup_lines"), "w.n_repeat_words", failed.alias("base_failed"), (~failed & fits).alias("kept"), *(v.alias(k) for k, v in ratios.items()))
+    return made.select("row" if carry else "doc_id", "w.n_words", "w.word_chars", "n_symbols", F.col("l.duplicates").alias("n_dup_lines"), "w.n_repeat_words", failed.alias("base_failed"), (~failed & fits).alias("kept"), *(v.alias(k) for k, v in ratios.items()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%%&|<>]', '', 'g')) AS n_symbols
+  FROM documents),
+k AS (SELECT row_number() OVER () AS k, * FROM d),
+grams AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM k)),
+again AS (SELECT k, i FROM grams QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
+inside AS (SELECT k, count(DISTINCT i + o) AS n FROM again, (SELECT unnest([0, 1, 2, 3, 4]) AS o) GROUP BY k),
+c AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(w, lambda x: list_contains([%s], lower(rtrim(x, '.,;:!?'))))) AS stops,
+    len(list_filter(w, lambda x: regexp_matches(x, '\\p{L}'))) AS letters,
+    len(list_filter(l, lambda x: regexp_matches(x, '^\\s*[-*•]'))) AS bullets,
+    len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$'))) AS ellipses,
+    greatest(len(w), 1) AS nw, greatest(len(l), 1) AS nl
+  FROM k LEFT JOIN inside USING (k)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND %s AS kept FROM f
+""" % (
+    ", ".join(f"'{w}'" for w in STOP_WORDS),
+    " AND ".join(f"{value} {sign} {bound}" for x, value in zip(LIMITS, ["word_chars / nw", "n_symbols / nw", "letters / nw", "stops / nw", "n_dup_lines / nl", "bullets / nl", "ellipses / nl"]) for sign, bound in ((">=", x.low), ("<=", x.high)) if bound is not None),
+)
