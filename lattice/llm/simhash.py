@@ -1,20 +1,23 @@
 """SimHash fingerprints of word shingles, and groups of fingerprints that differ in few bits.
 
-Equal fingerprints are one row from the start (their smallest doc_id), so copies never meet each other. The pivot
-table of a fingerprint holds its Hamming distances to reference fingerprints: the zero word, the 64 single-bit words
-and 16 fixed random words. By the triangle inequality, two fingerprints within distance r differ by at most r in every
-coordinate; a pair with a larger coordinate difference is discarded, and survivors are verified by their bits.
-
-Pairs to look at come from the table, too: d(x, one-bit word b) - d(x, 0) is 1 or -1 by bit b, and within distance r at
-most r of those 64 differences differ. Cut into r + 2 groups of coordinates, two groups agree fully; each choice of two
-groups is a key. A key's fingerprints are compared in blocks in one task; a key with more than HOT fingerprints is
-keyed again by the same rule over its other coordinates, as often as needed.
-
-Only a spanning forest of each key's links leaves a task. Components follow by label propagation with pointer jumps
+Equal fingerprints are one row from the start, so copies never meet each other. The pivot table holds, for each distinct
+fingerprint, its Hamming distances to many reference fingerprints: the 64 words of one bit, the zero word and 31 fixed
+random words. It is computed once and stored; all pairs come from it.
+
+- Cells. A fingerprint's distance to a one-bit word, less that to zero, is 1 or -1. Two fingerprints within distance r
+  differ in at most r of those 64 coordinates; cut into r + 2 groups, two groups agree in full. Each choice of two groups
+  is a cell of the table, and pairs are looked for inside of cells only. A cell with more than HOT fingerprints is cut
+  again by the same rule over its other coordinates, as often as needed.
+- Discarding. By the triangle inequality a pair within distance r differs by at most r in every coordinate; in a cell,
+  ordered by the distance to zero, pairs with a larger difference in any of the other 32 coordinates are discarded.
+- Verification. What is left is compared by its bits.
+
+Only a spanning forest of each cell's links leaves a task. Components follow by label propagation with pointer jumps
 over tables in the shared folder; nothing is gathered on the driver.
 
 A null or empty text has no shingle and the fingerprint zero, which is linked like any other. A text of fewer words
-than a shingle is one shingle. Repeated rows are kept; a null doc_id gets the component of its fingerprint.
+than a shingle is one shingle. Repeated rows are kept; a row with a null doc_id has the component of its fingerprint,
+and passes links on; a component of such rows alone has a null id.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from lattice.llm.common import stored, table, utf8, whole_groups
 
 SHINGLE, BITS_APART, SEED, HOT = 3, 2, 42, 4000
-PIVOTS = np.concatenate([[0], np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64)), np.random.default_rng(9).integers(0, 1 << 64, 16, np.uint64)]).astype(np.uint64)
+#: The references: 64 words of one bit, which make the cells, then zero and random words, which discard.
+ONE_BIT, RANDOM = 64, 31
+REFERENCES = np.concatenate([np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64)), [0], np.random.default_rng(9).integers(0, 1 << 64, RANDOM, np.uint64)]).astype(np.uint64)
 
 
 def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -68,33 +73,44 @@ def keys(free: list[int], apart: int) -> list[list[int]]:
     return [sorted(a + b) for a, b in itertools.combinations(groups, 2)]
 
 
-def pivot_table(fps: np.ndarray, pivots: np.ndarray = PIVOTS) -> np.ndarray:
-    return np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
+def distances(fps: np.ndarray, references: np.ndarray = REFERENCES) -> np.ndarray:
+    return np.bitwise_count(fps[:, None] ^ references[None, :]).astype(np.int8)
+
 
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """fp, distances (a byte for each reference) and cell (the signs of the one-bit coordinates, a bit each)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = distances(batch.column(0).to_numpy().astype(np.uint64))
+            cell = np.packbits(table[:, :ONE_BIT] < table[:, ONE_BIT, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in table], pa.binary()), pa.array(cell.astype(np.int64))], names=["fp", "distances", "cell"])
 
-def close_pairs(fps: np.ndarray, apart: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) within the distance, block by block: discarded by random pivots first, then verified."""
-    rows = pivot_table(fps, PIVOTS[65:])
+    return stored(distinct.select("fp").mapInArrow(run, "fp bigint, distances binary, cell bigint"), "pivot-table")
+
+
+def close_pairs(fps: np.ndarray, rows: np.ndarray, apart: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) within the distance, block by block: those with a larger difference in any coordinate of
+    rows are discarded, the others verified."""
     order = np.argsort(rows[:, 0], kind="stable")
     fps, rows = fps[order], rows[order]
     for at in range(0, len(fps), block):
         mine = slice(at, at + block)
         stop = int(np.searchsorted(rows[:, 0], rows[min(at + block, len(fps)) - 1, 0] + apart, "right"))
-        left = np.abs(rows[mine, None, 0] - rows[None, at:stop, 0]) <= apart
-        i, j = np.nonzero(left)
+        i, j = np.nonzero(np.abs(rows[mine, None, 0] - rows[None, at:stop, 0]) <= apart)
         i, j = i + at, j + at
         keep = i < j
         i, j = i[keep], j[keep]
         for p in range(1, rows.shape[1]):
-            if len(i) < 64:
-                break
             keep = np.abs(rows[i, p] - rows[j, p]) <= apart
             i, j = i[keep], j[keep]
+            if not len(i):
+                break
         keep = np.bitwise_count(fps[i] ^ fps[j]) <= apart
         yield order[i[keep]], order[j[keep]]
 
 
-def forest(fps: np.ndarray, apart: int) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, rows: np.ndarray, apart: int) -> list[tuple[int, int]]:
     """Links that join what close pairs join, at most one fewer than fingerprints."""
     up = list(range(len(fps)))
 
@@ -105,7 +121,7 @@ def forest(fps: np.ndarray, apart: int) -> list[tuple[int, int]]:
         return i
 
     out = []
-    for i, j in close_pairs(fps, apart):
+    for i, j in close_pairs(fps, rows, apart):
         for a, b in zip(i.tolist(), j.tolist()):
             x, y = top(a), top(b)
             if x != y:
@@ -114,38 +130,40 @@ def forest(fps: np.ndarray, apart: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct: DataFrame, apart: int = BITS_APART, hot: int = HOT) -> DataFrame:
-    """Pairs a, b of the distinct fingerprints (fp) whose links join all that lie within the distance."""
+def links(table: DataFrame, apart: int = BITS_APART, hot: int = HOT) -> DataFrame:
+    """Pairs a, b of a pivot table's fingerprints whose links join all that lie within the distance."""
     found = None
+
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bounds in whole_groups(batches, 2):
             fps = part.column(2).to_numpy().astype(np.uint64)
+            rows = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int8).reshape(len(fps), -1)
             a, b = [], []
             for k in np.flatnonzero(np.diff(bounds) > 1):
-                own = fps[bounds[k] : bounds[k + 1]]
-                for i, j in forest(own, apart):
-                    a.append(own[i])
-                    b.append(own[j])
+                own = slice(bounds[k], bounds[k + 1])
+                for i, j in forest(fps[own], rows[own], apart):
+                    a.append(fps[own][i])
+                    b.append(fps[own][j])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).astype(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    level = distinct.select("fp", F.lit("").alias("path"))
-    choices = keys([*range(64)], apart)
-    options = {"": choices}
+    rest = F.expr(f"substring(distances, {ONE_BIT + 1}, {1 + RANDOM})").alias("rest")
+    level = table.select("fp", "cell", rest, F.lit("").alias("path"))
+    options = {"": keys([*range(64)], apart)}
     while options:
         mask = F.create_map(*(x for path, cs in options.items() for x in (F.lit(path), F.array(*(F.struct(F.lit(f"{path}{n}.").alias("path"), F.lit(_mask(c)).alias("mask")) for n, c in enumerate(cs))))))
-        keyed = level.select("fp", F.explode(F.element_at(mask, F.col("path"))).alias("c")).select("fp", F.col("c.path").alias("path"), F.col("fp").bitwiseAND(F.col("c.mask")).alias("key"))
+        keyed = level.select("fp", "cell", "rest", F.explode(F.element_at(mask, F.col("path"))).alias("c")).select("fp", "cell", "rest", F.col("c.path").alias("path"), F.col("cell").bitwiseAND(F.col("c.mask")).alias("key"))
         large = keyed.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("path", "key")
         heavy = large.select("path").distinct().collect() if _splits(options, apart) else []
         if heavy:  # few paths: at most one for each choice of groups
-            large = stored(large, "hot-keys")
+            large = stored(large, "hot-cells")
             normal = keyed.join(large, ["path", "key"], "left_anti")
         else:
             normal = keyed
-        part = normal.select("path", "key", "fp").repartition("path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(joined, "a bigint, b bigint")
+        part = normal.select("path", "key", "fp", "rest").repartition("path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(joined, "a bigint, b bigint")
         found = part if found is None else found.unionByName(part)
         if not heavy:
             break
-        level = keyed.join(large, ["path", "key"], "left_semi").select("fp", "path")
+        level = keyed.join(large, ["path", "key"], "left_semi").select("fp", "cell", "rest", "path")
         options = {r["path"]: keys(_free(r["path"], apart), apart) for r in heavy}
         # keys below a hot key hold its bits, too
         options = {p: [sorted(set(range(64)) - set(_free(p, apart)) | set(c)) for c in cs] for p, cs in options.items()}
@@ -191,10 +209,11 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, apart: int = BITS_APART, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable)."""
     made = stored(fingerprints(docs, words), "fingerprints")
-    nodes = made.groupBy("fp").agg(F.min("doc_id").alias("label"))
-    nodes = stored(nodes, "nodes")
-    roots = components(nodes.where("label is not null"), links(nodes, apart, hot))
-    return made.join(roots, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("root").alias("component_id"))
+    # A label has to belong to one node: the id is followed by the fingerprint, and a null id comes after all others.
+    label = F.struct(F.min("doc_id").isNull().alias("none"), F.min("doc_id").alias("id"), F.col("fp").alias("of"))
+    nodes = stored(made.groupBy("fp").agg(label.alias("label")), "nodes")
+    roots = components(nodes, links(pivot_table(nodes), apart, hot))
+    return made.join(roots, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("root.id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
