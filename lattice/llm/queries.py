@@ -16,4 +16,4 @@ QUERIES = {
     "op9_simhash": simhash.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
-ORACLE_SQL = {"op2_url_filters": url_filters.SQL}
+ORACLE_SQL = {"op2_url_filters": url_filters.SQL, "op8_quality_rules": quality_rules.SQL, "op10_suffix_dedup": suffix_dedup.SQL}

@@ -12,10 +12,14 @@ at anchors whose gram stands twice or more are sorted. Consecutive windows with
    prefixes likewise. A window at distance o before its anchor is repeated if another run agrees on at least o bytes
    to the left and LENGTH - o to the right. Runs that agree to the left are merged from deep to shallow, the smaller
    into the larger; each merged run meets only its neighbours in the order of suffixes, as no other one agrees on more.
-4. A gram with more than GROUP different runs is not sorted in one task: all its windows are hashed and counted.
+4. A gram with more than GROUP different runs is split: any two runs of it that share a window share the LENGTH - STEP
+   bytes from one of a few fixed distances before the anchor, so runs are dealt by these strings and each of the groups
+   is sorted as in 3. Only where such a string itself has over GROUP different surroundings, the windows of its runs
+   are hashed and counted.
 
 Hashes that stand for equality have 128 bits. Null texts are empty; texts of fewer bytes than LENGTH have no window.
-Repeated rows repeat each other. Rows with one doc_id and different texts are told apart by a hash of the text.
+Repeated rows repeat each other. A row is known by a hash of its doc_id and text and another one of its text, so rows
+that share an id, or have none, keep their own spans. Other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -30,13 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm.common import portions, stored, table, utf8, whole_groups
+from lattice.llm.common import portions, row_key, stored, table, utf8, whole_groups
 
-LENGTH, GRAM, SHALLOW, GROUP = 400, 128, 48, 5000
+LENGTH, GRAM, SHALLOW, GROUP, STEP = 400, 128, 48, 1000, 16
 #: A key with over 1/HOT of all runs is dealt to SALTS tasks; there can be no more than HOT such keys.
 HOT, SALTS = 1000, 32
 ODD = 0x9E3779B97F4A7C15
-NO_ID = -(1 << 63)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 BYTE_CODES = np.random.default_rng(4).integers(0, 1 << 64, 256, np.uint64)
 
@@ -239,10 +242,13 @@ def _contexts(docs: DataFrame, fine: DataFrame, length: int) -> DataFrame:
     types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.bool_()] * 2 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
             out = []
             for doc, text, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                data = utf8(text)
+                if doc == before:  # the same row once more
+                    continue
+                before, data = doc, utf8(text)
                 mark = xxhash.xxh3_64_intdigest(data) - (1 << 63)
                 for r in own:
                     if r["text_hash"] == mark:
@@ -256,7 +262,8 @@ def _contexts(docs: DataFrame, fine: DataFrame, length: int) -> DataFrame:
 SPANS = "doc bigint, text_hash bigint, start int, stop int"
 
 
-def _sorted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+def _sorted_spans(contexts: DataFrame, key: str, length: int, gram: int) -> DataFrame:
+    """The spans that runs (key, doc, text_hash, p1, p2, anchor, asks, bytes) of one key share."""
     types, names = [pa.int64()] * 2 + [pa.int32()] * 2, ["doc", "text_hash", "start", "stop"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,12 +280,46 @@ def _sorted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    keyed = contexts.repartition("gram").sortWithinPartitions("gram", "doc", "text_hash", "p1")
-    return keyed.mapInArrow(run, SPANS)
+    keyed = contexts.select(key, "doc", "text_hash", "p1", "p2", "anchor", "asks", "bytes")
+    return keyed.repartition(key).sortWithinPartitions(key, "doc", "text_hash", "p1").mapInArrow(run, SPANS)
+
+
+def _shared_strings(contexts: DataFrame, length: int, gram: int, step: int) -> DataFrame:
+    """part, doc, text_hash, p1: for each run the hashes of the length - step bytes that begin 0, step, 2 * step, ...
+    bytes before its anchor. A window that begins o bytes before the anchor holds the string of the greatest distance
+    up to o, so two runs that share a window share one of these."""
+    types, names = [pa.binary(), pa.int64(), pa.int64(), pa.int32()], ["part", "doc", "text_hash", "p1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, mark, p1, anchor, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                for back in range(0, length - gram + 1, step):
+                    at = anchor - p1 - back
+                    if at >= 0 and at + length - step <= len(data):
+                        # The distance is part of the key: equal strings at other distances share no window by way of it.
+                        out.append((xxhash.xxh3_128_digest(data[at : at + length - step], back), doc, mark, p1))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return contexts.select("doc", "text_hash", "p1", "anchor", "bytes").mapInArrow(run, "part binary, doc bigint, text_hash bigint, p1 int")
+
+
+def _split_spans(contexts: DataFrame, length: int, gram: int, group: int, step: int) -> DataFrame:
+    """The spans of grams with very many different runs."""
+    strings = stored(_shared_strings(contexts, length, gram, step), "shared-strings")
+    held = stored(strings.groupBy("part").agg(F.count("*").alias("n")).where("n > 1"), "repeated-strings")
+    dealt = stored(_dealt_join(strings, held, ["part"], "part", strings.count(), ["n"]), "dealt-runs")
+    on = ["doc", "text_hash", "p1"]
+    out = _sorted_spans(contexts.join(dealt.where(F.col("n") <= group).select("part", *on), on), "part", length, gram)
+    crowded = dealt.where(F.col("n") > group)
+    if crowded.limit(1).count():
+        out = out.unionByName(_counted_spans(contexts.join(crowded.select(*on).distinct(), on), length))
+    return out
 
 
 def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """Every window of the runs, by a hash of 128 bits: for grams with very many different runs."""
+    """Every window of the runs, by a hash of 128 bits."""
     schema = "window binary, doc bigint, text_hash bigint, start int, asks boolean"
     types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
 
@@ -295,9 +336,10 @@ def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
     return windows.where("asks").join(twice, "window").select("doc", "text_hash", "start", (F.col("start") + length).alias("stop"))
 
 
-def _dealt_join(found: DataFrame, keyed: DataFrame, on: list[str], key: str, total: int) -> DataFrame:
-    """found joined with keyed (a row per value of on, with its number n of rows in found). Values of key that hold
-    many of the total rows go to several tasks: found's rows by their place, keyed's rows to each of them."""
+def _dealt_join(found: DataFrame, keyed: DataFrame, on: list[str], key: str, total: int, take: list[str] = ()) -> DataFrame:
+    """found joined with keyed (a row per value of on, with its number n of rows in found), of which take is added.
+    Values of key that hold many of the total rows go to several tasks: found's rows by their place, keyed's rows to
+    each of them."""
     hot = [r[0] for r in keyed.where(F.col("n") * HOT > total).select(key).collect()]  # at most HOT
     if hot:
         salt = F.pmod(F.xxhash64("doc", "text_hash", "p1"), F.lit(SALTS)).cast("int")
@@ -305,12 +347,13 @@ def _dealt_join(found: DataFrame, keyed: DataFrame, on: list[str], key: str, tot
         every = F.sequence(F.lit(0), F.lit(SALTS - 1))
         keyed = keyed.withColumn("_salt", F.explode(F.when(F.col(key).isin(hot), every).otherwise(F.array(F.lit(0)))))
         on = [*on, "_salt"]
-    return found.join(keyed.select(*on), on).drop("_salt")
+    return found.join(keyed.select(*on, *take), on).drop("_salt")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None, group: int = GROUP) -> DataFrame:
     """doc, text_hash and the byte spans that repeated strings cover (they may overlap); docs (doc, text)."""
     gram = gram or max(1, min(GRAM, length // 3))
+    step = max(1, min(STEP, length // 25))
     found = stored(_find_runs(docs, length, gram), "runs")
     total = found.count()
     twice = stored(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "repeated-grams")
@@ -321,9 +364,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     equal = _dealt_join(some, sets.where("n > 1"), ["gram", "whole"], "whole", total).select("doc", "text_hash", F.col("p1").alias("start"), (F.col("p2") + length).alias("stop"))
     fine = sets.join(several, "gram").select("gram", "one.*", (F.col("n") == 1).alias("asks"), "large")
     contexts = stored(_contexts(docs, fine, length), "run-bytes")
-    out = equal.unionByName(_sorted_spans(contexts.where("not large"), length, gram))
+    out = equal.unionByName(_sorted_spans(contexts.where("not large"), "gram", length, gram))
     if contexts.where("large").limit(1).count():
-        out = out.unionByName(_counted_spans(contexts.where("large"), length))
+        out = out.unionByName(_split_spans(contexts.where("large"), length, gram, group, step))
     return out
 
 
@@ -338,11 +381,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _with_spans(docs: DataFrame, length: int, gram: int | None, columns: list[str]) -> DataFrame:
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), *columns)
+def _with_spans(docs: DataFrame, length: int, gram: int | None, carried: list[str]) -> DataFrame:
+    """rest (a struct of the carried columns), text, spans: of each row, also of repeated ones."""
+    keyed = docs.select(row_key().alias("doc"), "text", F.struct(*(F.col(f"`{c}`") for c in carried)).alias("rest"))
     spans = repeated_spans(keyed.select("doc", "text"), length, gram)
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("text_hash", "start", "stop")).alias("spans"))
-    return keyed.join(by_doc, "doc", "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), *columns, "spans")
+    by_doc = spans.groupBy("doc").agg(F.collect_set(F.struct("text_hash", "start", "stop")).alias("spans"))
+    return keyed.join(by_doc, "doc", "left").select("rest", "text", "spans")
 
 
 def _own_spans(data: bytes, spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -363,14 +407,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for rest, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 data = utf8(text)
                 cut = _own_spans(data, spans)
-                out.append((doc, len(data), sum(b - a for a, b in cut), len(cut), hashlib.sha256(remaining(data, cut)).hexdigest()))
+                out.append((rest["doc_id"], len(data), sum(b - a for a, b in cut), len(cut), hashlib.sha256(remaining(data, cut)).hexdigest()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return _with_spans(docs, length, gram, ["text"]).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _with_spans(own, length, gram, ["doc_id"]).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -395,15 +440,34 @@ def cleaned_texts(docs: DataFrame, length: int = LENGTH, gram: int | None = None
                 data = utf8(text)
                 own = whole_characters(data, _own_spans(data, spans))
                 texts.append(remaining(data, own).decode("utf-8", "surrogatepass") if own else text)
-            at = batch.schema.get_field_index("text")
-            batch = batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["spans"])
-            yield batch
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string())], names=["rest", "text"])
 
-    rest = [c for c in docs.columns if c != "doc_id"]
-    both = _with_spans(docs, length, gram, rest).select(*docs.columns, "spans")
+    rest = [c for c in docs.columns if c != "text"]
+    both = _with_spans(docs, length, gram, rest)
     out = both.mapInArrow(cut, both.drop("spans").schema)
-    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    column = lambda c: F.col("text") if c == "text" else F.col(f"rest.`{c}`")
+    made = {c: column(c).alias(c) for c in docs.columns}
+    if "n_chars" in made:
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*made.values())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT k, doc_id, x, length(x) // 2 AS n FROM d),
+w AS (SELECT k, i, md5_number(substring(x, 2 * i + 1, {2 * LENGTH})) AS h FROM (SELECT k, x, unnest(range(n - {LENGTH - 1})) AS i FROM n WHERE n >= {LENGTH})),
+again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT k, i FROM w WHERE h IN (FROM again)),
+step AS (SELECT k, i, CASE WHEN i - lag(i) OVER o <= {LENGTH} THEN 0 ELSE 1 END AS new FROM hit WINDOW o AS (PARTITION BY k ORDER BY i)),
+runs AS (SELECT k, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS r FROM step) GROUP BY k, r),
+cut AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY k ORDER BY a) IS NULL AS final FROM runs),
+kept AS (SELECT k, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+    string_agg(substring(x, 2 * before + 1, 2 * (a - before)) || CASE WHEN final THEN substring(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS x
+  FROM cut JOIN n USING (k) GROUP BY k)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.x, n.x))) AS kept_sha256
+FROM n LEFT JOIN kept USING (k)
+"""
