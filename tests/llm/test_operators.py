@@ -102,12 +102,33 @@ def test_token_counts(docs, spark, none):
             assert tree.n_tokens == sum(own.count(own.split(t)))
     found = by_id(token_counts.recount(docs, path, public.PATTERN))
     assert found[3]["n_tokens"] == 0 and found[0]["n_tokens"] == found[0]["n_tokens_after"] > 0
-    edited = spark.createDataFrame([(1, "a b c", [(2, 3, "word"), (2, 4, "lost")])], "doc_id long, text string, e array<struct<start int, end int, replacement string>>")
-    assert token_counts.recount(edited, path, public.PATTERN, edits_column="e").first()["n_edits"] == 1
     assert token_counts.recount(none, path, public.PATTERN).count() == 0
 
 
-def test_quality_rules(docs, none):
+def test_kept_trees_take_edits(docs, spark, none):
+    """Counts against the tokenizer library; the second edits start from the trees that the first ones left."""
+    import tiktoken
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    plain = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    trees = token_counts.plant(docs, path, public.PATTERN)
+    found = by_id(trees)
+    assert all(found[k]["n_tokens"] == len(plain.encode_ordinary(t or "")) for k, t in enumerate(TEXTS))
+    edits = spark.createDataFrame([(0, 3, 9, "word"), (0, 5, 6, "lost"), (1, 0, 0, "new "), (2, 0, 0, "from nothing"), (5, 10, 40, None), (None, 0, 2, "an"), (8, 9999999, 9999999, " end"), (99, 0, 1, "x"), (1, None, 3, "x")], "doc_id long, start int, end int, replacement string")
+    texts = dict(enumerate(TEXTS))
+    once = token_counts.apply(trees, edits, path, public.PATTERN)
+    expected = {**texts, 0: TEXTS[0][:3] + "word" + TEXTS[0][9:], 1: "new " + TEXTS[1], 2: "from nothing", 5: TEXTS[5][:10] + TEXTS[5][40:], 8: TEXTS[8] + " end", None: "an id"}
+    expected[None] = "an" + "no id"[2:]
+    for k, r in by_id(once).items():
+        assert r["text"] == (expected[k] or "") and r["n_tokens"] == len(plain.encode_ordinary(expected[k] or "")), k
+    assert once.count() == docs.count() and by_id(once)[0]["n_edits"] == 1 and by_id(once)[8]["n_encoded"] < 20
+    again = by_id(token_counts.apply(once, spark.createDataFrame([(1, 1, 2, "ö")], edits.schema), path, public.PATTERN))
+    text = "n" + "ö" + expected[1][2:]
+    assert again[1]["text"] == text and again[1]["n_tokens"] == len(plain.encode_ordinary(text)) and again[0]["n_edits"] == 0
+    assert token_counts.apply(token_counts.plant(none, path, public.PATTERN), edits, path, public.PATTERN).count() == 0
+
+
+def test_quality_rules(docs, none, spark):
     import re
 
     found = by_id(quality_rules.judge(docs))
@@ -120,8 +141,16 @@ def test_quality_rules(docs, none):
             if n[x] > 1:
                 inside |= {*range(i, i + 5)}
         assert (found[k]["n_words"], found[k]["word_chars"], found[k]["n_repeat_words"]) == (len(w), sum(map(len, w)), len(inside))
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (found[k]["n_symbols"], found[k]["n_dup_lines"]) == (len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len({*lines}))
         assert found[k]["base_failed"] == (len(w) < 10 or 100 * len(inside) > 20 * len(w))
     assert quality_rules.judge(none).count() == 0
+    clean = "The old house stands at the end of a long road, and nobody from the town has been in it for years."
+    bad = ["a b c d e f g h i j k l m n", "the # # # # # of and to in a is that", "12 34 56 78 90 12 34 56 the 78 90 11", "\n".join(["the same line of words"] * 3 + ["another line with more words in it"])]
+    rows = spark.createDataFrame([*enumerate([clean, *bad])], "doc_id long, text string")
+    assert [r["kept"] for r in quality_rules.judge(rows).orderBy("doc_id").collect()] == [True, False, False, False, False]
+    kept = quality_rules.judge(rows.selectExpr("*", "doc_id n_words", "doc_id row"), carry=True).where("kept").select("row.*").collect()
+    assert [(r["doc_id"], r["n_words"], r["row"]) for r in kept] == [(0, 0, 0)]
 
 
 def test_simhash(docs, none, spark):
@@ -144,7 +173,10 @@ def test_simhash_links_of_dense_groups(spark, hot):
     center = pick.getrandbits(64)
     fps |= {center ^ (1 << pick.randrange(64)) ^ (1 << pick.randrange(64)) for _ in range(80)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    rows = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 2, hot).collect()
+    table = simhash.pivot_table(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    first = table.first()
+    assert list(first["distances"]) == [((first["fp"] ^ int(p)) & (1 << 64) - 1).bit_count() for p in simhash.REFERENCES] and first["cell"] == first["fp"]
+    rows = simhash.links(table, 2, hot).collect()
     up = {f: f for f in signed}
 
     def top(x):
@@ -161,21 +193,42 @@ def test_simhash_links_of_dense_groups(spark, hot):
                 assert top(a) == top(b)
 
 
-@pytest.mark.parametrize("length,group", [(400, 5000), (40, 5000), (40, 1)])
-def test_suffix_dedup(docs, length, group, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)
-    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (length, None, group))
-    found = by_id(suffix_dedup.remove_repeats(docs.where("doc_id > 0"), length))
-    data = {k: (t or "").encode() for k, t in enumerate(TEXTS) if k}
-    n = collections.Counter(b[i : i + length] for b in data.values() for i in range(len(b) - length + 1))
-    for k, b in data.items():
+def without_repeats(data, length):
+    """Brute force: each text's remaining bytes and the number of removed ones."""
+    n, out = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1)), []
+    for b in data:
         gone = np.zeros(len(b) + 1, bool)
         for i in range(len(b) - length + 1):
             if n[b[i : i + length]] > 1:
                 gone[i : i + length] = True
         gone = gone[: len(b)]
-        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        assert (found[k]["n_removed"], found[k]["kept_sha256"]) == (int(gone.sum()), hashlib.sha256(kept).hexdigest()), k
+        out.append((np.frombuffer(b, np.uint8)[~gone].tobytes(), int(gone.sum())))
+    return out
+
+
+@pytest.mark.parametrize("length,group", [(400, 1000), (40, 1000), (40, 6), (40, 1)])
+def test_suffix_dedup(docs, none, length, group, monkeypatch):
+    """Repeated rows and a null id included; small groups lead through the split and the counted way."""
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (length, None, group))
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    rows += [(None, rows[0][1] + b" tail"), (7, PASSAGE[:90].encode() + b" other")]
+    more = docs.sparkSession.createDataFrame([(k, b.decode(), "en", 0.0) for k, b in rows[-2:]], DOCS)
+    found = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs.unionByName(more), length).collect())
+    kept = without_repeats([b for _, b in rows], length)
+    assert found == collections.Counter((k, len(b), n, hashlib.sha256(left).hexdigest()) for (k, b), (left, n) in zip(rows, kept))
+    assert suffix_dedup.remove_repeats(none, length).count() == 0
+
+
+def test_suffix_dedup_of_a_passage_in_many_texts(spark, monkeypatch):
+    """One gram with many different surroundings, some of which agree on more."""
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (60, None, 8))
+    pick = random.Random(4)
+    core = "".join(pick.choice("abcdefgh ") for _ in range(55))
+    texts = [prose(5) + pick.choice(["", "xy", "12345"]) + core + pick.choice(["", "z", "67890"]) + prose(5) for _ in range(60)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 60).collect()
+    kept = without_repeats([t.encode() for t in texts], 60)
+    assert {r["doc_id"]: r["kept_sha256"] for r in got} == {k: hashlib.sha256(b).hexdigest() for k, (b, _) in enumerate(kept)}
+    assert 0 < sum(n > 0 for _, n in kept) < 60
 
 
 def test_deep_shallow_sorts():
@@ -188,6 +241,8 @@ def test_cleaned_texts_keep_columns(docs, none):
     out = suffix_dedup.cleaned_texts(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert suffix_dedup.cleaned_texts(none).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "1 doc", "2 spans", "3 rest", "4 text_hash")
+    assert suffix_dedup.cleaned_texts(clash).columns == clash.columns and suffix_dedup.cleaned_texts(clash).where("doc = 1 and spans = 2").count() == docs.count()
 
 
 def test_neighbours(spark):
@@ -210,6 +265,16 @@ def test_neighbours(spark):
     assert got[300] == [301, 302, 303, 304, 305]
 
 
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    col = __import__("pyspark.sql.functions").sql.functions.col
+    gen = np.random.default_rng(1)
+    x = gen.standard_normal((60, 8))
+    near = lambda scale: neighbours.nearest(spark.createDataFrame([(k, [float(v) * scale for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>"), col("vec_id") % 30 == 0).collect()
+    plain = near(1.0)
+    assert len(plain) == 10 and near(2.0**660) == near(2.0**-660) == plain
+    assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), col("vec_id") % 30 == 0).count() == 0
+
+
 def test_url_filters(spark):
     urls = [None, "no scheme", "http://Example.com/en/x?q", "https://a.www.example.com/en/", "ftp://example.com:80/en/", "x://sub.net/es/1#f", "http://net/fr/", "http://other.org", "http://badexample.com/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -217,6 +282,11 @@ def test_url_filters(spark):
     small = sorted(url_filters.judge_urls(pages, rules).collect())
     large = sorted(url_filters.judge_urls(pages, rules, max_sent_rules=0).collect())
     assert small == large
+    again = pages.unionByName(pages.where("page_id = 2")).unionByName(pages.selectExpr("cast(null as long) page_id", "url"))
+    count = lambda most: collections.Counter(url_filters.judge_urls(again, rules, max_sent_rules=most).collect())
+    assert count(0) == count(50) and sum(count(0).values()) == 2 * len(urls) + 1
+    assert url_filters.judge_urls(pages.limit(0), rules, max_sent_rules=0).count() == url_filters.judge_urls(pages.limit(0), rules).count() == 0
+    assert {r["verdict"] for r in url_filters.judge_urls(pages, rules.limit(0), "block").collect()} == {"block"}
     assert [r["rule"] for r in small] == [None, None, "example.com/en/", "www.example.com/en/", None, "net/es/", "net/fr/", None, "com/"]
 
 
@@ -225,7 +295,7 @@ def test_marginals_are_those_of_all_paths():
 
     gen = np.random.default_rng(4)
     scores, moves = gen.standard_normal((3, 6)), gen.standard_normal((2, 2))
-    for row, odds in zip(scores, toxicity.marginals(scores, moves)):
+    for row, odds in zip(scores, toxicity.document_marginals([*scores], moves)):
         weight = np.zeros((6, 2))
         for path in itertools.product((0, 1), repeat=6):
             w = np.exp(sum(row[k] * y for k, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
@@ -234,6 +304,42 @@ def test_marginals_are_those_of_all_paths():
         assert np.allclose(odds, np.log(weight[:, 1] / weight[:, 0]))
 
 
+def test_marginals_cross_window_borders():
+    gen = np.random.default_rng(0)
+    moves = gen.standard_normal((2, 2))
+    lists = [2 * gen.standard_normal(n) for n in (0, 1, 5, 64, 65, 128, 129, 500, 63, 192)]
+    for x, odds in zip(lists, toxicity.document_marginals(lists, moves)):
+        emit, n = np.stack([np.zeros(len(x)), x], -1), len(x)
+        a, b = np.array(emit), np.zeros((n, 2))
+        for k in range(1, n):
+            a[k] = [np.logaddexp(a[k - 1, 0] + moves[0, j], a[k - 1, 1] + moves[1, j]) + emit[k, j] for j in (0, 1)]
+        for k in range(n - 2, -1, -1):
+            b[k] = [np.logaddexp(moves[i, 0] + emit[k + 1, 0] + b[k + 1, 0], moves[i, 1] + emit[k + 1, 1] + b[k + 1, 1]) for i in (0, 1)]
+        assert np.allclose((a + b)[:, 1] - (a + b)[:, 0], odds) if n else not len(odds)
+
+
+def test_tagger_gradient_is_that_of_finite_differences():
+    gen = np.random.default_rng(3)
+    scores, moves, y = gen.standard_normal((2, 5)), gen.standard_normal((2, 2)), gen.integers(0, 2, (2, 5)).astype(float)
+
+    def loss(s, m):
+        import itertools
+
+        total = 0.0
+        for row, tags in zip(s, y.astype(int)):
+            value = lambda p: sum(row[k] * v for k, v in enumerate(p)) + sum(m[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            total += np.logaddexp.reduce([value(p) for p in itertools.product((0, 1), repeat=5)]) - value(tags)
+        return total
+
+    d_s, d_t = toxicity.gradient(scores, moves, y)
+    for array, grad, at in ((scores, d_s, (0, 2)), (scores, d_s, (1, 4)), (moves, d_t, (0, 1)), (moves, d_t, (1, 1))):
+        up, down = (array.copy() for _ in range(2))
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        pair = [(x, moves) if array is scores else (scores, x) for x in (up, down)]
+        assert grad[at] == pytest.approx((loss(*pair[0]) - loss(*pair[1])) / 2e-5, abs=1e-6)
+
+
 def test_toxicity_held_out(spark, none):
     pick = random.Random(1)
     bad = ["scumbag", "scumface", "idiot"]
@@ -251,6 +357,8 @@ def test_toxicity_held_out(spark, none):
     held = [k for k in range(0, 200, 5)]
     assert sum(found[k]["predicted"] == labels[k][1] for k in held) >= 0.95 * len(held)
     assert found[900]["predicted"] == 0
+    carried = toxicity.score(docs.withColumn("score", docs["doc_id"]), model, carry=True).select("row.doc_id", "row.lang", "predicted").collect()
+    assert len(carried) == 201 and all(r["predicted"] == found[r["doc_id"]]["predicted"] for r in carried)
     spans = [rows[k][1][s["start"] : s["end"]] for k in held for s in found[k]["spans"]]
     assert set(spans) <= set(bad) and spans
     assert toxicity.score(none, toxicity.fit(none, known)).count() == 0
@@ -263,6 +371,7 @@ def test_language_model(docs, none):
     counts = collections.Counter(w for k, ws in own.items() if not held[k] for w in ws)
     n, v = sum(counts.values()), len(counts)
     for k, ws in own.items():
+        assert found[k]["n_tokens"] == len(ws) and found[k]["score"] < 0
         assert found[k]["n_known"] == sum(counts[w] > 0 for w in ws) and found[k]["train_tokens"] == n and found[k]["held_out"] == held[k]
         assert found[k]["base_score"] == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
     assert language_model.log_likelihoods(none).count() == 0
@@ -278,6 +387,38 @@ def test_network_learns_order():
     assert net.score(documents[:1])[0] > 0.3 * before > before
 
 
+def test_network_gradient_is_that_of_finite_differences():
+    """One window from zero states, whose loss is the sum of the negative log-probabilities of its tokens."""
+    gen = np.random.default_rng(6)
+    target = gen.integers(0, 9, (3, language_model.UNROLL)).astype(np.int32)
+    net = language_model.Network(7, hidden=4)
+    net.start(np.array([3, 5, *range(20, 6, -2)], float))
+    net.p = {k: v.astype(np.float64) + (k in ("x", "u", "wc", "wi")) * 0.3 * gen.standard_normal(v.shape) for k, v in net.p.items()}
+    net.p["bi"][0, 7:] = -1e4
+    start, before = np.zeros((3, 4), np.float64), np.full(3, language_model.END)
+
+    def loss():
+        h, x, total = start, before, 0.0
+        for k in range(target.shape[1]):
+            h = net.step(np.where((x == language_model.END)[:, None], 0, h), x)[0]
+            total -= net.log_probs(h, target[:, k]).sum()
+            x = target[:, k]
+        return total / (3 * language_model.UNROLL)
+
+    kept = {k: v.copy() for k, v in net.p.items()}
+    grads = net.gradients(target, start, before)[0]
+    for k, g in grads.items():
+        for at in [tuple(gen.integers(0, n) for n in g.shape) for _ in range(4)]:
+            if k == "bi" and at[1] >= 7:
+                continue
+            around = []
+            for d in (1e-4, -1e-4):
+                net.p = {name: v.copy() for name, v in kept.items()}
+                net.p[k][at] += d
+                around.append(loss())
+            assert g[at] == pytest.approx((around[0] - around[1]) / 2e-4, abs=2e-4), (k, at)
+
+
 def test_network_reads_every_training_document(spark):
     rows = [(k, "a b c d " * 4) for k in range(900)] + [(k, "e f g h " * 3000) for k in range(900, 903)] + [(None, None)]
     training = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -317,3 +458,44 @@ def test_pipeline_drops_edited_copies(spark):
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == stays
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    """Stage by stage and as a whole: null and repeated ids, copies, a toxic and a poor text, a passage in two texts."""
+    import corpus_pipeline
+
+    pick = random.Random(3)
+    common = "the of and to in that it for was on are with as be this have from".split()
+    words = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pick.randint(3, 9))) for _ in range(400)]
+    text = lambda n: " ".join(pick.choice(common if pick.random() < 0.3 else words) for _ in range(n)) + "."
+    rows = [(k, text(60)) for k in range(150)]
+    toxic = {k for k in range(0, 150, 4)}
+    rows = [(k, t.replace(" ", " scumbag ", 1)) if k in toxic else (k, t) for k, t in rows]
+    passage = text(55)
+    assert corpus_pipeline.REPEAT < len(passage) < 400
+    clean, poor = text(80), "## $$ ## $$"
+    extra = [(200, clean), (201, clean), (None, clean), (202, f"{text(50)} {passage} {text(50)}"), (203, f"{text(40)} {passage} {text(70)}"),
+             (204, poor), (204, text(70)), (205, None), (None, text(65)), (None, rows[0][1]), (206, clean), (206, clean)]
+    table = lambda data, schema: spark.createDataFrame(data, schema)
+    table([(k, t, "en", "s", len(t or "")) for k, t in rows + extra], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    table([(k, 1, int(k in toxic)) for k in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    after = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    texts = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    bad = collections.Counter((k, t) for k, t in rows + extra if "scumbag" in (t or ""))
+    assert texts(after) == collections.Counter(rows + extra) - bad and after.columns == docs.columns
+    judged = quality_rules.judge(after.withColumn("doc_id", after["n_chars"])).where("kept").count()
+    good = corpus_pipeline.drop_poor(spark, after, str(tmp_path))
+    kept = texts(good)
+    assert sum(kept.values()) == judged and (204, poor) not in kept and (205, None) not in kept and sum(k == 204 for k, _ in kept) == 1
+    single = texts(corpus_pipeline.drop_near_copies(spark, good, str(tmp_path)))
+    assert single == collections.Counter({x for x in kept if x[1] != clean or x[0] == 200})
+    cut = corpus_pipeline.drop_repeats(spark, corpus_pipeline.drop_near_copies(spark, good, str(tmp_path)), str(tmp_path))
+    left = collections.Counter(b for b, _ in without_repeats([t.encode() for _, t in single], corpus_pipeline.REPEAT))
+    assert collections.Counter(t.encode() for _, t in texts(cut)) == left and not any(passage[5:-5] in t for _, t in texts(cut))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == collections.Counter(k for k, _ in single.elements())
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    assert sum(r["length"] for r in packed) == sum(len(plain.encode(b.decode(), add_special_tokens=False).ids) + 1 for b in left.elements())
