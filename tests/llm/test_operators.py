@@ -499,3 +499,34 @@ def test_pipeline(spark, tmp_path):
 
     plain = Tokenizer.from_file(public.path("word_bpe_49k.json"))
     assert sum(r["length"] for r in packed) == sum(len(plain.encode(b.decode(), add_special_tokens=False).ids) + 1 for b in left.elements())
+
+
+def test_links_between_groups_in_blocks(spark):
+    """Copies of one text that are alike only in chains, in one block and in many."""
+    from lattice.llm import near_copies
+
+    pick = random.Random(2)
+    text, texts = [f"w{k}" for k in range(120)], []
+    for _ in range(60):
+        texts.append(" ".join(text[pick.randrange(20) :][: pick.randrange(90, 120)]))
+    sets = [{*near_copies.shingles(t).tolist()} for t in texts]
+    held = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").selectExpr("doc_id", "text", "doc_id row").mapInArrow(near_copies._sets, "doc_id bigint, same bigint, n bigint, keys array<bigint>, shingles binary, row bigint").cache()
+    of = {r["same"]: r["doc_id"] for r in held.collect()}
+    roots = held.selectExpr("same fp", "same root").distinct()
+
+    def joined(pairs):
+        up = {k: k for k in of.values()}
+
+        def top(k):
+            while up[k] != k:
+                k = up[k]
+            return k
+
+        for a, b in pairs:
+            up[top(a)] = top(b)
+        return {frozenset(j for j in up if top(j) == top(k)) for k in up}
+
+    true = [(a, b) for a in of.values() for b in of.values() if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for block in (10**6, 300):
+        found = [(of[r["a"]], of[r["b"]]) for r in near_copies.links_between(held, roots, 0.8, block).collect()]
+        assert all((min(p), max(p)) in true for p in found) and joined(found) == joined(true)
