@@ -4,26 +4,48 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattice.model import INFRA
 from lattice.storage import stored
 
 
-def blast_radius(edges: DataFrame, target: str, max_depth: int = 50) -> DataFrame:
-    """id, depth, path_back of all that depend on the target; of several parents the smallest."""
-    back = stored(edges.select(F.col("source").alias("id"), F.col("target").alias("parent")).distinct(), "edges")
-    front = back.sparkSession.createDataFrame([(target, 0, [target])], "id string, depth int, path_back array<string>")
-    seen = front
+def dependents(edges: DataFrame, target: str, max_depth: int = 50) -> tuple[list[DataFrame], bool]:
+    """A table (id, depth, parent, place) for each depth, nearest first, and whether the walk stopped at max_depth with
+    ways left. Of several parents the one that a queue would have met first counts: place holds, for each step, the
+    order of the edge and the id."""
+    ord_ = F.col("ord") if "ord" in edges.columns else F.lit(0)
+    back = stored(edges.select(F.col("source").alias("id"), F.col("target").alias("parent"), ord_.cast("bigint").alias("ord")).groupBy("id", "parent").agg(F.min("ord").alias("ord")), "edges")
+    none = F.array().cast("array<struct<ord: bigint, id: string>>")
+    front = back.sparkSession.createDataFrame([(target,)], "id string").select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), none.alias("place"))
+    seen, rounds = front.select("id"), []
     for depth in range(1, max_depth + 1):
-        step = back.join(front.select(F.col("id").alias("parent"), "path_back"), "parent").groupBy("id").agg(F.min_by("path_back", "parent").alias("p"))
-        new = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.concat(F.array("id"), "p").alias("path_back"))
-        front = stored(new, "front")
+        step = back.join(front.select(F.col("id").alias("parent"), "place"), "parent")
+        best = step.groupBy("id").agg(F.min(F.struct(F.concat("place", F.array(F.struct("ord", "id"))).alias("place"), "parent")).alias("b"))
+        front = stored(best.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "b.parent", "b.place"), "front")
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen.where("depth > 0")
+            return rounds, False
+        rounds.append(front)
+        seen = seen.unionByName(front.select("id"))
+        if depth % 10 == 0:  # else each round reads one table more
+            seen = stored(seen, "seen")
+    return rounds, not back.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").isEmpty()
+
+
+def blast_radius(edges: DataFrame, target: str, max_depth: int = 50) -> DataFrame:
+    """id, depth, path_back of all that depend on the target."""
+    rounds, _ = dependents(edges, target, max_depth)
+    return path_back(edges.sparkSession, rounds, target)
+
+
+def path_back(spark: SparkSession, rounds: list[DataFrame], target: str) -> DataFrame:
+    """id, depth, path_back from the tables of dependents: each depth's ways are those of its parents, one node longer."""
+    out = ways = spark.createDataFrame([(target, [target])], "id string, path_back array<string>").withColumn("depth", F.lit(0)).select("id", "depth", "path_back")
+    for level in rounds:
+        ways = level.select("id", "depth", "parent").join(ways.select(F.col("id").alias("parent"), "path_back"), "parent").select("id", "depth", F.concat(F.array("id"), "path_back").alias("path_back"))
+        out = out.unionByName(ways)
+    return out.where("depth > 0")
 
 
 def traces(nodes: DataFrame, edges: DataFrame, max_nodes: int = 20) -> DataFrame:
@@ -62,6 +84,14 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     raise RuntimeError("components did not settle")
 
 
+def ranked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, root, size, rank: components in order of size, largest first, then of their smallest id, from 0."""
+    found = stored(components(nodes, edges), "components")
+    sizes = found.groupBy("root").agg(F.count("*").alias("size"))
+    ranks = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "root")) - 1)  # a row for each component
+    return found.join(ranks, "root").select("id", "root", "size", "rank")
+
+
 def _reach(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
     """id, color: smallest color that reaches the id along edges (a, b); start holds every id with its own color."""
     now = start
@@ -132,21 +162,32 @@ def depths(edges: DataFrame, rounds: int = 1000) -> DataFrame:
 
 
 def transitive_reduction(edges: DataFrame) -> DataFrame:
-    """Without edges u-v of a type for which v is reachable from u by two or more edges of the type, not by way of u-v."""
-    own = stored(edges.select("source", "target", "type").distinct(), "edges")
-    step = own.select(F.col("source").alias("mid"), F.col("target").alias("end"), "type")
-    grow = lambda ways: ways.withColumnRenamed("target", "mid").join(step, ["mid", "type"]).select("source", F.col("end").alias("target"), "type").where("source <> target").distinct()
-    front = stored(grow(own), "ways")
+    """Without edges u-v of a type for which v is reached from u by two or more edges of the type, neither beginning with
+    u-v nor passing u again.
+
+    Only sources of several edges, some of whose targets have other ways in, are searched from. For each node that is
+    reached, up to two of the first steps that lead there are kept: v has another way if one of them isn't v itself."""
+    own = stored(edges.select("source", "target", "type").distinct().where("source <> target"), "edges")
+    loops = edges.select("source", "target", "type").distinct().where("source = target")
+    several = own.groupBy("source", "type").agg(F.count("*").alias("n")).where("n > 1").select("source", "type")
+    entered = own.groupBy("target", "type").agg(F.count("*").alias("n")).where("n > 1").select("target", "type")
+    open_ = stored(own.join(several, ["source", "type"], "left_semi").join(entered, ["target", "type"], "left_semi"), "open")
+    sources = open_.select("source", "type").distinct()
+    step = own.select(F.col("source").alias("at"), F.col("target").alias("next"), "type")
+    front = stored(own.join(sources, ["source", "type"], "left_semi").select("source", "type", F.col("target").alias("at"), F.col("target").alias("low"), F.col("target").alias("high")), "front")
     seen = front
-    for k in itertools.count(1):  # ends, as there are finitely many pairs
-        new = grow(front).join(seen, ["source", "target", "type"], "left_anti")
-        front = stored(new, "ways")
+    for k in itertools.count(1):  # ends, as a node is reached anew at most twice
+        on = front.join(step, ["at", "type"]).where("next <> source").groupBy("source", "type", F.col("next").alias("at")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        old = seen.groupBy("source", "type", "at").agg(F.min("low").alias("l"), F.max("high").alias("h"))
+        met = on.join(old, ["source", "type", "at"], "left").where("l is null or (l = h and (low <> l or high <> l))")
+        front = stored(met.select("source", "type", "at", F.coalesce(F.least("low", "l"), "low").alias("low"), F.coalesce(F.greatest("high", "h"), "high").alias("high")), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-        if k % 50 == 0:  # else the plan grows with the depth
+        if k % 10 == 0:
             seen = stored(seen, "seen")
-    return own.join(seen, ["source", "target", "type"], "left_anti")
+    other = seen.where((F.col("low") != F.col("at")) | (F.col("high") != F.col("at"))).select("source", F.col("at").alias("target"), "type").distinct()
+    return own.join(open_.join(other, ["source", "target", "type"], "left_semi"), ["source", "target", "type"], "left_anti").unionByName(loops)
 
 
 def k_core(nodes: DataFrame, edges: DataFrame, least: int, rounds: int = 1000) -> DataFrame:

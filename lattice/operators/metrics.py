@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattice.model import is_infra
@@ -57,11 +57,35 @@ def prune_super_nodes(nodes: DataFrame, edges: DataFrame, threshold: float) -> t
     return nodes.join(gone.select("id"), "id", "left_anti"), left, gone
 
 
+def folder_of(depth: int) -> Column:
+    """The folder node that a node is drawn in: the first folders of its path; nodes that stand for no file are their own."""
+    is_file = F.col("type").isin("endpoint", "note") | F.regexp_like(F.coalesce("path", F.lit("")), F.lit(r"\.[^./]*$"))
+    folder = F.when(is_file, F.regexp_replace("path", r"/?[^/]*$", "")).otherwise(F.col("path"))
+    short = F.array_join(F.slice(F.filter(F.split(folder, "/"), lambda s: ~s.isin("", ".")), 1, depth), "/")
+    filed = F.col("type").isin("module", "package", "endpoint", "note") & (F.coalesce("path", F.lit("")) != "")
+    return F.when(filed, F.concat(F.lit("dir:"), F.when(short == "", "(root)").otherwise(short))).otherwise(F.col("id"))
+
+
+def folder_nodes(nodes: DataFrame, depth: int) -> DataFrame:
+    """id, name, type, path, members: the folders with the number of their nodes, and the nodes that aren't in one."""
+    own = nodes.select("id", "name", "type", "path", folder_of(depth).alias("g"))
+    inside = own.where("g <> id").groupBy("g").agg(F.count("*").alias("members"))
+    folder = F.expr("substring(g, 5)")
+    rows = inside.select(F.col("g").alias("id"), F.format_string("%s (%d)", folder, "members").alias("name"), F.lit("module").alias("type"), folder.alias("path"), "members")
+    return rows.unionByName(own.where("g = id").select("id", "name", "type", "path", F.lit(None).cast("bigint").alias("members")))
+
+
+def count_label(n: Column, kind: Column) -> Column:
+    """1 import, 12 calls."""
+    noun = F.when(kind == "dependency", "import").when(kind == "api_call", "call").otherwise(F.translate(kind, "_", " "))
+    return F.concat_ws(" ", n.cast("string"), F.concat(noun, F.when(n == 1, "").otherwise("s")))
+
+
 def group_by_folder(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """source, target, type, n: modules, packages and endpoints contracted to the first folders of their paths."""
-    folder = F.when(F.col("type") == "endpoint", F.regexp_replace("path", r"/?[^/]*$", "")).otherwise(F.col("path"))
-    short = F.array_join(F.slice(F.filter(F.split(folder, "/"), lambda s: s != ""), 1, depth), "/")
-    filed = F.col("type").isin("module", "package", "endpoint") & F.col("path").isNotNull()
-    key = nodes.select("id", F.when(filed, F.concat(F.lit("dir:"), F.when(short == "", "(root)").otherwise(short))).otherwise(F.col("id")).alias("g"))
+    """source, target, type, n, label of the edges between folders and nodes outside of them. A single edge that touches no
+    folder keeps its label; of several the last one's is lost in their number."""
+    key = nodes.select("id", folder_of(depth).alias("g"))
     both = edges.join(key.select(F.col("id").alias("source"), F.col("g").alias("s")), "source").join(key.select(F.col("id").alias("target"), F.col("g").alias("t")), "target")
-    return both.where("s <> t").groupBy(F.col("s").alias("source"), F.col("t").alias("target"), "type").agg(F.count("*").alias("n"))
+    merged = both.where("s <> t").groupBy(F.col("s").alias("source"), F.col("t").alias("target"), "type").agg(F.count("*").alias("n"), F.max_by("label", "ord").alias("own"))
+    touches = F.col("source").startswith("dir:") | F.col("target").startswith("dir:") | (F.col("n") > 1)
+    return merged.select("source", "target", "type", "n", F.when(touches, count_label(F.col("n"), F.col("type"))).otherwise(F.col("own")).alias("label"))

@@ -76,8 +76,8 @@ def confidence(target: Column, c: Column) -> Column:
 
 
 def resolved_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """source, target, type, label, confidence: symbolic targets looked up, unknown targets and self loops gone, the first
-    edge of each source, target and type."""
+    """source, target, type, label, confidence, ord: form actions, routes, imports and links looked up, unknown targets
+    and self loops gone, the first edge of each source, target and type."""
     symbolic = edges.select("target").distinct()
     routes = symbolic.where("target like 'route:%'").select(
         "target", F.upper(F.regexp_extract("target", r"^route:(\S+) ", 1)).alias("method"), F.regexp_extract("target", r"^route:\S+ (.*)$", 1).alias("route"))
@@ -89,16 +89,22 @@ def resolved_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         by_route = routes.limit(0).select("target", F.lit("").alias("id"))
     found = (resolve_imports(symbolic.where("target like 'import:%'"), nodes)
              .unionByName(resolve_wikilinks(symbolic.where("target like 'wikilink:%'"), nodes)).unionByName(by_route))
-    both = edges.join(found, "target", "left").select(
-        "source", F.coalesce("id", "target").alias("target"), "type", "label", confidence(F.col("target"), F.col("confidence")).alias("confidence"), "ord")
+    columns = ["source", F.coalesce("id", "target").alias("target"), "type", "label", confidence(F.col("target"), F.col("confidence")).alias("confidence"), "ord"]
+    both = edges.join(found, "target", "left").select(*columns)
+    if "properties" in nodes.columns and not symbolic.where("target like 'action:%'").isEmpty():
+        from lattice.operators import actions
+
+        both = both.unionByName(edges.join(actions.resolve_actions(nodes, edges), ["source", "target"]).select(*columns))
     known = both.where(F.col("source") != F.col("target")).join(nodes.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
-    best = known.groupBy("source", "target", "type").agg(F.min_by(F.struct("label", "confidence"), "ord").alias("r"))
-    return best.select("source", "target", "type", "r.label", "r.confidence")
+    best = known.groupBy("source", "target", "type").agg(F.min_by(F.struct("label", "confidence", "ord"), "ord").alias("r"))
+    return best.select("source", "target", "type", "r.label", "r.confidence", "r.ord")
 
 
 def target_binding(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """wanted (target) to id: the id itself, else the shortest id that ends in it or whose path does."""
-    ids = nodes.select("id", F.col("id").alias("text")).unionByName(nodes.where("path is not null").select("id", F.col("path").alias("text")))
-    exact = wanted.join(nodes.select("id"), F.col("target") == F.col("id")).select("target", "id", F.lit(0).alias("how"))
-    suffix = wanted.join(ids.select("id", F.explode(tails(F.col("text"))).alias("target")), "target").select("target", "id", F.lit(1).alias("how"))
-    return exact.unionByName(suffix).groupBy("target").agg(F.min_by("id", F.struct("how", F.octet_length("id"), "id")).alias("id"))
+    """wanted (target) to id: the id itself, else the shortest id that ends in it or whose path does, then the smallest.
+    Only ends of the lengths that are asked for are looked up."""
+    ends = nodes.select("id", F.explode(F.array_distinct(F.array("id", F.coalesce("path", F.col("id"))))).alias("text"))
+    lengths = wanted.where("target <> ''").agg(F.array_distinct(F.collect_set(F.length("target"))).alias("lengths"))
+    every = ends.join(F.broadcast(lengths)).select("id", "text", F.explode("lengths").alias("n")).where("n <= length(text)")  # lengths is one row
+    suffix = wanted.where("target <> ''").join(every.select("id", F.expr("right(text, n)").alias("target")), "target").select("target", "id", F.when(F.col("id") == F.col("target"), 0).otherwise(1).alias("how"))
+    return suffix.groupBy("target").agg(F.min_by("id", F.struct("how", F.octet_length("id"), "id")).alias("id"))

@@ -30,12 +30,6 @@ def resolved(graph: Graph) -> DataFrame:
     return stored(resolve.resolved_edges(graph.nodes, graph.edges), "resolved")
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """A violation for each strong component of two nodes or more over dependency edges."""
-    found = kernels.strong_components(edges.where("type = 'dependency'")).groupBy("scc").agg(F.array_sort(F.collect_list("id")).alias("ids")).where("size(ids) > 1")
-    return found.select(F.lit("no_circular_deps").alias("rule"), F.lit("high").alias("severity"), F.array_join("ids", ", ").alias("subject"))
-
-
 def validate(graph: Graph, own: list[rules.Rule] = (), known: DataFrame | None = None) -> DataFrame:
     """rule, severity, subject, and is_new against a baseline."""
     edges = resolved(graph)
