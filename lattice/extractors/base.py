@@ -109,8 +109,17 @@ def rows_of(path: str, rel: str, ext: str, size: int) -> list[tuple]:
     return found.rows
 
 
-def extract(files: DataFrame, root: str = "") -> Graph:
-    """The graph of a listing; nodes once for an id and edges once for a key, the first of each."""
+def signature_of(extractor: Extractor) -> str:
+    """What rows depend on besides the file: the extractor's language and code."""
+    import hashlib
+    import inspect
+
+    code = inspect.getsource(inspect.getmodule(extractor.read))
+    return f"{extractor.language}:{hashlib.sha256(code.encode()).hexdigest()[:16]}"
+
+
+def raw_rows(files: DataFrame) -> DataFrame:
+    """The rows of a listing's files as their extractors give them."""
     def run(batches):
         import lattice.extractors.languages  # noqa: F401  registers them in this worker
 
@@ -120,8 +129,17 @@ def extract(files: DataFrame, root: str = "") -> Graph:
                 if rows:
                     yield pd.DataFrame(rows, columns=COLUMNS)
 
-    rows = files.where("not skipped").select("path", "rel_path", "ext", "size").mapInPandas(run, ROW).withColumn("ord", F.struct("file", "k"))
+    return files.where("not skipped").select("path", "rel_path", "ext", "size").mapInPandas(run, ROW)
+
+
+def graph_of(rows: DataFrame, root: str = "") -> Graph:
+    """Nodes once for an id and edges once for a key, the first of each."""
+    rows = rows.withColumn("ord", F.struct("file", "k"))
     nodes = rows.where("kind = 'node'").select("id", "name", "type", "language", "path", F.coalesce(F.expr("nullif(source, '')"), F.lit(root)).alias("source"), "properties", "ord")
     edges = rows.where("kind = 'edge'").select("source", "target", "type", "label", "confidence", "properties", "ord")
     best = edges.groupBy("source", "target", "type").agg(F.min_by(F.struct("label", "confidence", "properties", "ord"), "ord").alias("r"))
     return Graph(first_nodes(nodes), best.select("source", "target", "type", "r.*"))
+
+
+def extract(files: DataFrame, root: str = "") -> Graph:
+    return graph_of(raw_rows(files), root)

@@ -16,8 +16,8 @@ def dependents(edges: DataFrame, target: str, max_depth: int = 50) -> tuple[list
     ways left. Of several parents the one that a queue would have met first counts: place holds, for each step, the
     order of the edge and the id."""
     ord_ = F.col("ord") if "ord" in edges.columns else F.lit(0)
-    back = stored(edges.select(F.col("source").alias("id"), F.col("target").alias("parent"), ord_.cast("bigint").alias("ord")).groupBy("id", "parent").agg(F.min("ord").alias("ord")), "edges")
-    none = F.array().cast("array<struct<ord: bigint, id: string>>")
+    back = stored(edges.select(F.col("source").alias("id"), F.col("target").alias("parent"), ord_.alias("ord")).groupBy("id", "parent").agg(F.min("ord").alias("ord")), "edges")
+    none = F.expr(f"cast(array() as array<struct<ord: {back.schema['ord'].dataType.simpleString()}, id: string>>)")
     front = back.sparkSession.createDataFrame([(target,)], "id string").select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), none.alias("place"))
     seen, rounds = front.select("id"), []
     for depth in range(1, max_depth + 1):

@@ -28,6 +28,8 @@ class Options:
     max_chars: int = 100_000
     root: str = ""
     topology: str = "unknown"
+    theme: tuple[str, str] = ("", "")  # background and foreground, #rgb or #rrggbb
+    group_depth: int = 0  # folders instead of files, cut to so many segments
 
 
 @dataclass
@@ -39,7 +41,12 @@ class Visible:
 
 def visible(graph: Graph, options: Options, reduce: bool = True) -> Visible:
     """Nodes by id and edges by source, target and type, after the view, pruning, core and reduction."""
-    nodes, edges = metrics.view(graph.nodes, resolve.resolved_edges(graph.nodes, graph.edges), options.view_level)
+    nodes, edges = graph.nodes, resolve.resolved_edges(graph.nodes, graph.edges)
+    if options.group_depth > 0:
+        grouped = metrics.group_by_folder(nodes, edges, options.group_depth)
+        edges = grouped.select("source", "target", "type", "label", F.lit(1.0).alias("confidence"))
+        nodes, reduce = metrics.folder_nodes(nodes, options.group_depth), False  # a count isn't implied by other counts
+    nodes, edges = metrics.view(nodes, edges, options.view_level)
     if options.prune_threshold > 0:
         nodes, edges, _ = metrics.prune_super_nodes(nodes, edges, options.prune_threshold)
     if options.min_degree > 0:

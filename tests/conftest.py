@@ -4,7 +4,7 @@ from pyspark.sql import SparkSession
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    own = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+    own = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "2").config("spark.default.parallelism", "2").config("spark.ui.enabled", "false")
            .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate())
     own.sparkContext.setLogLevel("ERROR")
     return own
