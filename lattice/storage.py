@@ -30,11 +30,22 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a written table; a lost executor loses none of it. clear() removes it."""
     path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_at)
 
 
 def clear(spark: SparkSession) -> bool:
     """Removes all tables that this application has stored; DataFrames that read them can't be used any more."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return _delete(spark, own_dir(spark))
