@@ -9,13 +9,19 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.storage import shared_dir, stored  # noqa: F401  the operators take them from here
+from lattice.storage import drop, shared_dir, stored  # noqa: F401  the operators take them from here
 
 #: The white space that ends a word: space and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a Python worker gets at a time: a text may be long, and two workers share what an executor's heap leaves.
+BATCH = "2000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # nobody has chosen another number
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,7 +61,7 @@ class Cache:
     """Values of recurring strings, in the dict of. fill(list of missing strings) gives their values, in order; past
     limit entries it starts anew, so that memory stays bounded while frequent strings come back at once."""
 
-    def __init__(self, fill: Callable[[list], list], limit: int = 400_000):
+    def __init__(self, fill: Callable[[list], list], limit: int = 250_000):
         self.of: dict = {}
         self.fill, self.limit = fill, limit
 

@@ -108,7 +108,7 @@ def cut(docs: DataFrame, path: str, most: int = SEQUENCE, end_id: int = 0) -> Da
         own = encoder(path)
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), (t or "" for t in batch.column(1).to_pylist()))
-            for part in portions(rows, lambda r: len(r[1]) + 100, 4_000_000):
+            for part in portions(rows, lambda r: len(r[1]) + 100, 2_000_000):
                 out = []
                 for (doc, _), ids in zip(part, own.encode([t for _, t in part]), strict=True):
                     ids += end

@@ -528,5 +528,6 @@ def test_links_between_groups_in_blocks(spark):
 
     true = [(a, b) for a in of.values() for b in of.values() if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     for block in (10**6, 300):
-        found = [(of[r["a"]], of[r["b"]]) for r in near_copies.links_between(held, roots, 0.8, block).collect()]
+        shared = near_copies.shared_keys(held)
+        found = [(of[r["a"]], of[r["b"]]) for r in near_copies.links_between(shared, near_copies.shared_sets(held, shared), roots, 0.8, block).collect()]
         assert all((min(p), max(p)) in true for p in found) and joined(found) == joined(true)
