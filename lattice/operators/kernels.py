@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattice.model import INFRA
+from lattice.operators.in_task import united
 from lattice.storage import stored
 
+#: Links that one task unites.
+IN_TASK = 1_000_000
+
 
 def dependents(edges: DataFrame, target: str, max_depth: int = 50) -> tuple[list[DataFrame], bool]:
     """A table (id, depth, parent, place) for each depth, nearest first, and whether the walk stopped at max_depth with
@@ -69,19 +73,40 @@ def traces(nodes: DataFrame, edges: DataFrame, max_nodes: int = 20) -> DataFrame
     return found.groupBy("entry", "chain", "terminal").agg(F.max("confidence").alias("confidence"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """id, root: the smallest id that is connected, by smallest labels of neighbours and jumps to the label's own label."""
-    both = stored(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source")).where("a <> b").distinct(), "links")
-    now = stored(nodes.select("id", F.col("id").alias("root")).distinct(), "roots")
-    for _ in range(rounds):
-        near = both.join(now.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = now.join(near, "id", "left").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = step.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        after = stored(step.join(jump, "root", "left").select("id", "old", F.least("root", "above").alias("root")), "roots")
-        now = after.select("id", "root")
-        if after.where("old <> root").isEmpty():
-            return now
-    raise RuntimeError("components did not settle")
+def mixed(name: Column) -> Column:
+    """Another number for each number, none for two: names without an order that a graph could follow."""
+    for shift, n in ((F.shiftleft, 13), (F.shiftrightunsigned, 7), (F.shiftleft, 17)):
+        name = name.bitwiseXOR(shift(name, n))
+    return name
+
+
+def contracted(links: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """n, up: a number for each component of links (a, b, numbers) and each number in them. Each round, a node goes to the
+    least name around it; links between what is left, half as many nodes or fewer, are the next round's. The last ones are
+    settled in one task."""
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    left, rounds = stored(links.where("a <> b").select(*pair).distinct(), "links"), []
+    while left.count() > in_task:
+        a, b = F.col("a"), F.col("b")
+        near = left.select(a.alias("n"), mixed(b).alias("near")).union(left.select(b, mixed(a))).groupBy("n").agg(F.min("near").alias("near"))
+        up = stored(near.select("n", F.least("near", mixed(F.col("n"))).alias("up")), "up")
+        rounds.append(up)
+        to = lambda end: up.select(F.col("n").alias(end), F.col("up").alias(f"{end}_up"))  # noqa: B023, E731
+        met = left.join(to("a"), "a").join(to("b"), "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))
+        left = stored(met.where("a <> b").select(*pair).distinct(), "links")
+    top = left.coalesce(1).mapInArrow(united, "n bigint, up bigint")
+    for up in reversed(rounds):
+        top = up.join(top.select(F.col("n").alias("up"), F.col("up").alias("top")), "up", "left").select("n", F.coalesce("top", "up").alias("up"))
+    return top
+
+
+def components(nodes: DataFrame, edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """id, root: the smallest id that is connected."""
+    ids = stored(nodes.select("id").distinct().select("id", F.monotonically_increasing_id().alias("n")), "ids")  # written, so that numbers stay
+    end = lambda of, n: ids.select(F.col("id").alias(of), F.col("n").alias(n))
+    links = edges.select("source", "target").join(end("source", "a"), "source").join(end("target", "b"), "target").select("a", "b")
+    found = stored(ids.join(contracted(links, in_task), "n", "left").select("id", F.coalesce("up", "n").alias("top")), "tops")
+    return found.join(found.groupBy("top").agg(F.min("id").alias("root")), "top").select("id", "root")
 
 
 def ranked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

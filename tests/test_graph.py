@@ -89,6 +89,29 @@ def test_transitive_reduction_of_random_graphs(spark):
         assert found == [(a, b) for a, b in pairs if a == b or not other_way(a, b)]
 
 
+@pytest.mark.parametrize("in_task", [0, 1_000_000])
+def test_components_write_less_each_round(spark, monkeypatch, in_task):
+    """Rings under names in any order, a star, nodes without edges and an edge to what isn't a node."""
+    import random
+
+    names, wrote, plain = [f"n{k}" for k in range(3000)], [], kernels.stored
+    random.Random(4).shuffle(names)
+    pairs = [(names[at + k], names[at + (k + 1) % 700]) for at in (0, 700, 1400) for k in range(700)] + [(names[2100], x) for x in names[2101:2900]] + [("n1", "gone"), ("gone", "n2"), ("n5", "n5")]
+
+    def stored(df, name):
+        out = plain(df, name)
+        wrote.append(out.count())
+        return out
+
+    monkeypatch.setattr(kernels, "stored", stored)
+    nodes = spark.createDataFrame([(x,) for x in names], "id string")
+    settings = {} if in_task else {"in_task": 0}
+    found = {r["id"]: r["root"] for r in kernels.components(nodes, edges(spark, pairs), **settings).collect()}
+    groups = [names[:700], names[700:1400], names[1400:2100], names[2100:2900], *([x] for x in names[2900:])]
+    assert found == {x: min(g) for g in groups for x in g}
+    assert sum(wrote) < 8 * len(names)
+
+
 def test_parents_are_those_a_queue_would_meet_first(spark):
     e = edges(spark, [("z", "t"), ("a", "t"), ("x", "a"), ("x", "z"), ("y", "x")])
     found = {r["id"]: r["path_back"] for r in kernels.blast_radius(e, "t").collect()}
