@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattice.model import INFRA
-from lattice.operators.in_task import united
+from lattice.operators.in_task import PART, reduced, united
 from lattice.storage import stored
 
-#: Links that one task unites.
-IN_TASK = 1_000_000
+#: Links that one task unites, edges of a component that one task reduces, and of the longest way in a flat graph.
+IN_TASK, WHOLE, FLAT = 1_000_000, 500_000, 2
 
 
 def dependents(edges: DataFrame, target: str, max_depth: int = 50) -> tuple[list[DataFrame], bool]:
@@ -186,14 +186,44 @@ def depths(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return scc.join(now.withColumnRenamed("id", "scc"), "scc").select("id", "depth")
 
 
-def transitive_reduction(edges: DataFrame) -> DataFrame:
+def transitive_reduction(edges: DataFrame, whole: int = WHOLE) -> DataFrame:
     """Without edges u-v of a type for which v is reached from u by two or more edges of the type, neither beginning with
     u-v nor passing u again.
 
+    A flat graph is searched from all its sources at once. Where ways go on, each component of up to `whole` edges is
+    reduced in one task, in time near its size; only larger ones are searched to the end."""
+    every = stored(edges.select("source", "target", "type").distinct().where("source is not null and target is not null"), "edges")
+    own, loops = every.where("source <> target and type is not null"), every.where("source = target or type is null")
+    if not _goes_on(own, FLAT):
+        found = _searched(own)
+    else:
+        node = lambda end: F.xxhash64("type", end)  # noqa: E731  two nodes of one number only share a component
+        tops = contracted(own.select(node("source").alias("a"), node("target").alias("b")))
+        placed = stored(own.withColumn("n", node("source")).join(tops, "n", "left").select("source", "target", "type", F.coalesce("up", "n").alias("top")), "placed")
+        large = stored(placed.groupBy("top").agg(F.count("*").alias("n")).where(F.col("n") > whole).select("top"), "large")
+        n_parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() // PART))
+        if large.isEmpty():
+            small, found = placed, None
+        else:
+            small, found = placed.join(large, "top", "left_anti"), _searched(stored(placed.join(large, "top", "left_semi").drop("top"), "edges"))
+        kept = small.select("source", "target", "type", "top").repartition(n_parts, "top").sortWithinPartitions("top").mapInArrow(reduced, small.select("source", "target", "type").schema)
+        found = kept if found is None else found.unionByName(kept)
+    return found.unionByName(loops)
+
+
+def _goes_on(own: DataFrame, n: int) -> bool:
+    """Whether a way has more than n edges."""
+    last = own
+    for _ in range(n):
+        last = own.join(last.select(F.col("target").alias("source"), "type").distinct(), ["source", "type"], "left_semi")
+    return not last.isEmpty()
+
+
+def _searched(own: DataFrame) -> DataFrame:
+    """The edges that transitive_reduction keeps of a stored table.
+
     Only sources of several edges, some of whose targets have other ways in, are searched from. For each node that is
     reached, up to two of the first steps that lead there are kept: v has another way if one of them isn't v itself."""
-    own = stored(edges.select("source", "target", "type").distinct().where("source <> target"), "edges")
-    loops = edges.select("source", "target", "type").distinct().where("source = target")
     several = own.groupBy("source", "type").agg(F.count("*").alias("n")).where("n > 1").select("source", "type")
     entered = own.groupBy("target", "type").agg(F.count("*").alias("n")).where("n > 1").select("target", "type")
     open_ = stored(own.join(several, ["source", "type"], "left_semi").join(entered, ["target", "type"], "left_semi"), "open")
@@ -212,7 +242,7 @@ def transitive_reduction(edges: DataFrame) -> DataFrame:
         if k % 10 == 0:
             seen = stored(seen, "seen")
     other = seen.where((F.col("low") != F.col("at")) | (F.col("high") != F.col("at"))).select("source", F.col("at").alias("target"), "type").distinct()
-    return own.join(open_.join(other, ["source", "target", "type"], "left_semi"), ["source", "target", "type"], "left_anti").unionByName(loops)
+    return own.join(open_.join(other, ["source", "target", "type"], "left_semi"), ["source", "target", "type"], "left_anti")
 
 
 def k_core(nodes: DataFrame, edges: DataFrame, least: int, rounds: int = 1000) -> DataFrame:

@@ -89,6 +89,58 @@ def test_transitive_reduction_of_random_graphs(spark):
         assert found == [(a, b) for a, b in pairs if a == b or not other_way(a, b)]
 
 
+def test_transitive_reduction_of_long_rings(spark, monkeypatch):
+    """As many tables however long the rings; two types with the same ids, a way between rings, one beside it."""
+    ring = [(f"a{k}", f"a{(k + 1) % 60}") for k in range(60)] + [(f"b{k}", f"b{(k + 1) % 40}") for k in range(40)]
+    chords = [(f"a{k}", f"a{k + 2}") for k in range(0, 57, 3)]
+    ways, beside = [("a0", "m"), ("m", "b0")], [("a5", "b7")]
+    wrote, plain = [], kernels.stored
+
+    def stored(df, name):
+        wrote.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(kernels, "stored", stored)
+    one = spark.createDataFrame([(a, b, "x") for a, b in ring + chords + ways + beside] + [(a, b, "y") for a, b in chords] + [("a0", "a0", "y"), ("a0", "a9", None)], "source string, target string, type string")
+    rows = lambda df: sorted((r["source"], r["target"], r["type"] or "") for r in df.collect())
+    expected = sorted([(a, b, "x") for a, b in ring + ways] + [(a, b, "y") for a, b in chords] + [("a0", "a0", "y"), ("a0", "a9", "")])
+    assert rows(kernels.transitive_reduction(one)) == expected and len(wrote) < 12
+
+
+def test_transitive_reduction_of_components_too_large_for_a_task(spark):
+    ring = [(f"n{k}", f"n{(k + 1) % 6}") for k in range(6)] + [("x", "y"), ("y", "z"), ("x", "z")]
+    found = kernels.transitive_reduction(edges(spark, [*ring, ("n0", "n2")]), whole=4).collect()  # the ring has seven edges
+    assert sorted((r["source"], r["target"]) for r in found) == sorted(ring[:-1])
+
+
+def test_needed_edges_against_brute_force():
+    import random
+
+    import numpy as np
+
+    from lattice.operators import in_task
+
+    def way(pairs, a, b):
+        seen, todo = set(), [a]
+        while todo:
+            at = todo.pop()
+            if at not in seen:
+                seen.add(at)
+                todo += [y for x, y in pairs if x == at]
+        return b in seen
+
+    pick = random.Random(5)
+    for turn in range(600):
+        n = pick.randrange(2, 12)
+        pairs = sorted({(x, y) for x, y in ((pick.randrange(n), pick.randrange(n)) for _ in range(3 * n)) if (x > y if turn % 3 == 0 else x != y)})
+        if pairs:
+            a, b = np.array(pairs).T
+            only = [not way([p for p in pairs if p != own], *own) for own in pairs]
+            assert in_task.needed(n, a, b).tolist() == only
+    a, b = np.nonzero(np.tri(150, k=-1))  # more targets than a block of bits has
+    assert np.flatnonzero(~in_task.longer_ways(150, a, b, bits=1)).tolist() == np.flatnonzero(a == b + 1).tolist()
+
+
 @pytest.mark.parametrize("in_task", [0, 1_000_000])
 def test_components_write_less_each_round(spark, monkeypatch, in_task):
     """Rings under names in any order, a star, nodes without edges and an edge to what isn't a node."""
