@@ -27,7 +27,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group stays; groups by five-word shingles, not by op9's two bits."""
+    """The row with the smallest id of each group stays; groups by op9's fingerprints, and by five-word shingles beyond."""
     return near_copies.representatives(docs)
 
 

@@ -1,4 +1,7 @@
-"""Groups of documents whose word shingles have a Jaccard similarity of LEAST or more, with what such pairs link.
+"""Groups of documents by SimHash fingerprints, and by a Jaccard similarity of LEAST or more of their word shingles.
+
+Fingerprints within op9's distance link their texts, by op9's own pivot table. That misses copies with many edits, whose
+fingerprints lie further apart, so an exact check follows and adds the links of sets that are alike.
 
 A document is its set of shingle hashes; equal sets are one node from the start. Candidates share one of BANDS keys of
 BAND_ROWS minimum hashes each, which a pair at similarity 0.8 misses with probability 6e-5. No candidate links
@@ -23,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattice.llm.common import drop, row_key, stored, utf8, whole_groups
-from lattice.llm.simhash import components
+from lattice.llm.simhash import BITS_APART, HOT, components, fingerprint, pivot_table
+from lattice.llm.simhash import links as close_prints
 
 WORDS, LEAST, BANDS, BAND_ROWS, SEED = 5, 0.8, 32, 6, 42
+SETS = "doc_id bigint, same bigint, n bigint, keys array<bigint>, shingles binary, row bigint"
 #: Shingles of a block.
 BLOCK = 1_500_000
 _XOR, _TIMES = np.random.default_rng(17).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
@@ -60,6 +65,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same), pa.array([*map(len, sets)], pa.int64()), keys, pa.array([s.tobytes() for s in sets], pa.binary()), part.column(2)], names=["doc_id", "same", "n", "keys", "shingles", "row"])
 
 
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _sets, with op9's fingerprint instead of the shingles."""
+    for batch in batches:
+        prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
+        at = 0
+        for part in _sets(iter([batch])):
+            yield part.drop_columns(["shingles"]).append_column("fp", pa.array(prints[at : at + len(part)]))
+            at += len(part)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, same, n, first of the keys that several nodes have; batches (key, same, n) in order. first is a key's first
     node."""
@@ -144,6 +159,17 @@ def shared_sets(sets: DataFrame, shared: DataFrame) -> DataFrame:
     return stored(sets.select("same", "shingles").join(wanted, "same", "left_semi").dropDuplicates(["same"]), "shared-sets")
 
 
+def links_by_prints(sets: DataFrame, apart: int = BITS_APART, hot: int = HOT) -> DataFrame:
+    """a, b: each node with the least one whose fingerprint op9 links to one of its own."""
+    prints = stored(sets.select("same", "fp").distinct(), "prints")
+    nodes = stored(prints.select("fp", F.col("fp").alias("label")).distinct(), "nodes")
+    table = pivot_table(nodes)
+    linked = stored(prints.join(components(nodes, close_prints(table, apart, hot)), "fp").select("root", "same").distinct(), "by-prints")
+    drop(table, prints, nodes)
+    heads = linked.groupBy("root").agg(F.min("same").alias("b"))
+    return linked.join(heads, "root").where("same <> b").select(F.col("same").alias("a"), "b")
+
+
 def links(shared: DataFrame, held: DataFrame, least: float) -> DataFrame:
     """a, b: verified pairs of each node b and the node that comes first in most of its keys."""
     sizes = shared.select(F.col("same").alias("first"), F.col("n").alias("m")).distinct()
@@ -171,11 +197,11 @@ def groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, component_id (the smallest doc_id of the group), row (row_key) and first (whether the row is the one that
     stands for its group: smallest doc_id, null last, then smallest row), for each row of docs."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", row_key().alias("row"))
-    sets = stored(rows.mapInArrow(_sets, "doc_id bigint, same bigint, n bigint, keys array<bigint>, shingles binary, row bigint"), "sets")
+    sets = stored(rows.mapInArrow(_printed, SETS.replace("shingles binary, ", "") + ", fp bigint"), "sets")
     nodes = stored(sets.select(F.col("same").alias("fp"), F.col("same").alias("label")).distinct(), "nodes")
     shared = shared_keys(sets)
-    held = shared_sets(sets, shared)
-    first = links(shared, held, least)
+    held = shared_sets(rows.mapInArrow(_sets, SETS), shared)  # made anew: all rows' shingles take as much disk as the texts
+    first = stored(links(shared, held, least).unionByName(links_by_prints(sets)), "linked")
     rest = links_between(shared, held, stored(components(nodes, first), "first"), least)
     roots = sets.select("doc_id", "row", F.col("same").alias("fp")).join(components(nodes, first.unionByName(rest)), "fp")
     roots = stored(roots.select("doc_id", "row", "root"), "roots")

@@ -442,6 +442,17 @@ def test_network_reads_once_at_any_size(spark, monkeypatch):
     assert readings == [300, 300]
 
 
+def test_pipeline_links_by_fingerprints(spark):
+    """Texts of a passage again and again with ends of their own: few shingles in common, but one fingerprint."""
+    import corpus_pipeline
+
+    again = " ".join(f"w{k}" for k in range(21))
+    texts = [" ".join([again] * 50 + [f"{end}{k}" for k in range(30)]) for end in "abc"] + [" ".join(f"x{k}" for k in range(60))]
+    assert simhash.fingerprint(texts[0]) == simhash.fingerprint(texts[1])
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 3]
+
+
 def test_pipeline_drops_edited_copies(spark):
     import corpus_pipeline
 
