@@ -23,20 +23,21 @@ one; a null doc_id counts as an empty key of the fold.
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm.common import one_blas_thread, portions, remainder, stored, table, utf8
+from lattice.llm.common import cut_at, one_blas_thread, portions, remainder, stored, table, utf8
 
 HEAD, CLASSES, CLASS_WORDS, HIDDEN, LANES = 200_000, 64, 64, 16, 256
 UNROLL, EPOCHS = 16, 3
 ROUNDS, SHARD, PORTION, PIECE = EPOCHS, 2_000_000, 8_000_000, 4096  # tokens of a shard, characters of a portion, numbers of a row
+SPLIT, SCORED = 4_000_000, 3_000_000  # characters split at once, tokens scored at once
 OTHER, END = 0, 1  # symbols; words follow, class by class
 
 
@@ -99,23 +100,33 @@ class Network:
         }
 
     def step(self, h: np.ndarray, symbols: np.ndarray):
-        return self._step(h, self.p["x"][symbols] + self.p["b"])
-
-    def _step(self, h: np.ndarray, a: np.ndarray):
-        n, g = self.hidden, h @ self.p["u"]
-        zr = a[:, : 2 * n] + g[:, : 2 * n]
+        """The states after the symbols, a row for each lane; the gates and the new values."""
+        n, lanes = self.hidden, len(h)
+        out, new, zr, g = (np.empty((k * n, lanes), h.dtype) for k in (1, 1, 2, 3))
+        self._step(h.T, (self.p["x"][symbols] + self.p["b"]).T, out, new, zr, g)
+        return out.T, zr.T, new.T
+
+    def _step(self, h: np.ndarray, a: np.ndarray, out: np.ndarray, new: np.ndarray, zr: np.ndarray, g: np.ndarray) -> None:
+        """A row for each unit, a column for each lane, so that every gate is one piece of memory; fills the last four."""
+        n = self.hidden
+        np.matmul(self.p["u"].T, h, out=g)
+        np.add(a[: 2 * n], g[: 2 * n], out=zr)
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r, gn = zr[:, :n], zr[:, n:], g[:, 2 * n :]
-        new = r * gn
-        new += a[:, 2 * n :]
+        np.multiply(zr[n:], g[2 * n :], out=new)
+        new += a[2 * n :]
         np.tanh(new, out=new)
-        out = h - new
-        out *= z
+        np.subtract(h, new, out=out)
+        out *= zr[:n]
         out += new
-        return out, z, r, new, gn
+
+    def _read(self, reads: np.ndarray) -> np.ndarray:
+        """What the symbols (time, lane) add to the gates: time, unit, lane."""
+        a = self.p["x"].take(reads.ravel(), 0)
+        a += self.p["b"]
+        return np.ascontiguousarray(a.reshape(*reads.shape, -1).transpose(0, 2, 1))
 
     def _by_class(self, of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """Rows of words in order of their classes, and where each class that occurs begins and ends there."""
@@ -131,12 +142,14 @@ class Network:
 
     def log_probs(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural logs of the symbols' probabilities, given the states before them."""
+        return self._log_probs(np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1), symbols, *self._with_bias())
+
+    def _log_probs(self, h: np.ndarray, symbols: np.ndarray, wc: np.ndarray, wi: np.ndarray) -> np.ndarray:
+        """Of states with a one behind."""
         of = np.where(symbols < 2, symbols, 2 + (symbols - 2) // CLASS_WORDS)
-        wc, wi = self._with_bias()
-        h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
         out = _log_softmax(h @ wc, of)
         order, classes = self._by_class(of)
-        h, inner = h[order], np.empty((len(order), CLASS_WORDS), h.dtype)
+        h, inner = h.take(order, 0), np.empty((len(order), CLASS_WORDS), h.dtype)
         for c, i, j in classes:
             np.matmul(h[i:j], wi[c], out=inner[i:j])
         out[order] += _log_softmax(inner, (symbols[order] - 2) % CLASS_WORDS)
@@ -179,7 +192,9 @@ class Network:
             memory[k] += (0.01 if k in ("wc", "bc", "u", "b") else 1.0) * g * g
             if k in ("wc", "bc", "u", "b"):
                 memory[k] *= 0.99
-            self.p[k] -= (rate * g / np.sqrt(memory[k])).astype(np.float32)
+            g *= rate
+            g /= np.sqrt(memory[k])
+            self.p[k] -= g
         squares = memory["x"][read] + d_read * d_read  # symbols that weren't read have no gradient
         memory["x"][read] = squares
         self.p["x"][read] -= (rate * d_read / np.sqrt(squares)).astype(np.float32)
@@ -196,29 +211,32 @@ class Network:
         """As gradients, but "x" apart: the symbols that were read, and their rows."""
         p, n, kind = self.p, self.hidden, self.p["u"].dtype
         lanes, length = target.shape
-        after = np.where(target < 0, END, target).T
+        target = target.T
+        after = np.where(target < 0, END, target)
         reads = np.concatenate([before[None], after[:-1]])
-        goes_on = (reads != END).astype(kind)[:, :, None]  # a document begins from the zero state
-        a = p["x"][reads]
-        a += p["b"]
-        starts, states, z, r, new, gn = np.empty((6, length, lanes, n), kind)
+        goes_on = (reads != END).astype(kind)[:, None]  # a document begins from the zero state
+        a = self._read(reads)
+        starts, states, new = np.empty((3, length, n, lanes), kind)
+        zr, g = np.empty((length, 2 * n, lanes), kind), np.empty((length, 3 * n, lanes), kind)
+        h = h.T
         for k in range(length):
-            starts[k] = h * goes_on[k]
-            states[k], z[k], r[k], new[k], gn[k] = self._step(starts[k], a[k])
+            np.multiply(h, goes_on[k], out=starts[k])
+            self._step(starts[k], a[k], states[k], new[k], zr[k], g[k])
             h = states[k]
-        t, lane = np.nonzero(target.T >= 0)
-        symbols, hs = target.T[t, lane], states[t, lane]
+        live = np.flatnonzero(target >= 0)
+        symbols = target.ravel()[live]
         full = lanes * UNROLL  # a shorter window counts by its tokens
         of = np.where(symbols < 2, symbols, 2 + (symbols - 2) // CLASS_WORDS)
         wc, wi = self._with_bias()
-        hs = np.concatenate([hs, np.ones((len(hs), 1), kind)], 1)
+        hs = self._rows(states, live)
         e = hs @ wc
         factor = _softmax_error(e, of, full)
-        of_classes, inside = (hs * factor).T @ e, np.zeros_like(wi)
         d_h = e @ p["wc"].T
         d_h *= factor
+        of_classes = (hs * factor).T @ e
         order, classes = self._by_class(of)
-        hs, e, d_inner = hs[order], np.empty((len(order), CLASS_WORDS), kind), np.empty((len(order), n), kind)
+        inside = (np.empty_like if len(classes) == len(wi) else np.zeros_like)(wi)
+        hs, e, d_inner = hs.take(order, 0), np.empty((len(order), CLASS_WORDS), kind), np.empty((len(order), n), kind)
         for c, i, j in classes:
             np.matmul(hs[i:j], wi[c], out=e[i:j])
         factor = _softmax_error(e, (symbols[order] - 2) % CLASS_WORDS, full)
@@ -227,54 +245,74 @@ class Network:
             np.matmul(hs[i:j].T, e[i:j], out=inside[c])
             np.matmul(e[i:j], p["wi"][c].T, out=d_inner[i:j])
         d_inner *= factor
-        d_h[order] += d_inner
-        d_states = np.zeros_like(states)
-        d_states[t, lane] = d_h
-        by_new, by_z, by_r = (1 - z) * (1 - new * new), (starts - new) * z * (1 - z), gn * r * (1 - r)
-        d_g, carry = np.empty((length, lanes, 3 * n), kind), 0
+        d_inner += d_h.take(order, 0)
+        d_h[order] = d_inner
+        d_states = np.zeros((length * lanes, n), kind)
+        d_states[live] = d_h
+        d_states = np.ascontiguousarray(d_states.reshape(length, lanes, n).transpose(0, 2, 1))
+        d_g, d_a, d_u, carry = g, a, 0, 0  # in the place of what isn't read again
         for k in reversed(range(length)):
-            d, own = d_states[k] + carry, d_g[k]
-            d_new = d * by_new[k]
-            np.multiply(d, by_z[k], out=own[:, :n])
-            np.multiply(d_new, by_r[k], out=own[:, n : 2 * n])
-            np.multiply(d_new, r[k], out=own[:, 2 * n :])
-            new[k] = d_new
-            d *= z[k]
-            d += own @ p["u"].T
+            z, r, own = zr[k, :n], zr[k, n:], d_g[k]
+            d = d_states[k]
+            d += carry
+            by_new = new[k] * new[k]
+            np.subtract(1, by_new, out=by_new)
+            by_new -= z * by_new
+            by_new *= d  # the slope by what tanh takes
+            by_r = own[2 * n :] * by_new
+            by_r *= r
+            by_r -= r * by_r
+            by_z = starts[k] - new[k]
+            by_z *= d
+            by_z *= z
+            by_z -= z * by_z
+            own[:n], own[n : 2 * n] = by_z, by_r
+            np.multiply(by_new, r, out=own[2 * n :])
+            d_a[k, : 2 * n], d_a[k, 2 * n :] = own[: 2 * n], by_new
+            d_u = d_u + starts[k] @ own.T
+            d *= z
+            d += p["u"] @ own
             d *= goes_on[k]
             carry = d
-        grad = {"u": starts.reshape(-1, n).T @ d_g.reshape(-1, 3 * n), "wc": of_classes[:-1], "bc": of_classes[-1], "wi": inside[:, :-1], "bi": inside[:, -1]}
-        d_g[:, :, 2 * n :] = new
-        d_a = d_g.reshape(-1, 3 * n)
-        grad["b"] = d_a.sum(0)
+        grad = {"u": d_u, "wc": of_classes[:-1], "bc": of_classes[-1], "wi": inside[:, :-1], "bi": inside[:, -1]}
+        d_a = np.ascontiguousarray(d_a.transpose(0, 2, 1)).reshape(-1, 3 * n)
+        grad["b"] = np.ones(len(d_a), kind) @ d_a
         read = reads.ravel()
         order = np.argsort(read.astype(np.int16) if len(p["x"]) < 1 << 15 else read, kind="stable")
-        own, first = np.unique(read[order], return_index=True)
-        return grad, (own, np.add.reduceat(d_a[order], first)), h, after[-1]
-
-    def score(self, documents: list[np.ndarray], lanes: int = LANES, window: int = 64) -> np.ndarray:
+        read = read[order]
+        first = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
+        return grad, (read[first], np.add.reduceat(d_a.take(order, 0), first)), states[-1].T, after[-1]
+
+    def _rows(self, states: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Of states (time, unit, lane) those of the live places, a row for each, with a one behind."""
+        out = np.ones((states.shape[0], states.shape[2], self.hidden + 1), states.dtype)
+        out[:, :, :-1] = states.transpose(0, 2, 1)
+        out = out.reshape(-1, self.hidden + 1)
+        return out if len(live) == len(out) else out.take(live, 0)
+
+    def score(self, documents: list[np.ndarray], lanes: int = LANES, window: int = 32) -> np.ndarray:
         """Sums of natural logs over whole documents of symbols."""
         lanes = max(1, min(lanes, len(documents)))
         stream, owner, begins, lengths = laid(documents, lanes)
-        out = np.zeros(len(documents))
-        h, before = np.zeros((lanes, self.hidden), np.float32), np.full(lanes, END)
+        out, n, weights = np.zeros(len(documents)), self.hidden, self._with_bias()
+        h, before = np.zeros((n, lanes), np.float32), np.full(lanes, END)
         for at in range(0, lengths[0] if len(lengths) else 0, window):
             place = np.arange(at, min(at + window, lengths[0]))
             live = int((lengths > at).sum())  # lanes are in order of length, longest first
-            index = begins[:live, None] + place
-            target = np.where(place < lengths[:live, None], stream.take(index, mode="clip"), -1)
-            h, before = h[:live], before[:live]
-            states = np.empty((target.shape[1], live, self.hidden), np.float32)
-            after = np.where(target < 0, END, target).T
-            reads = np.concatenate([before[None], after[:-1]])
-            goes_on, a = (reads != END).astype(np.float32)[:, :, None], self.p["x"][reads]
-            a += self.p["b"]
-            for k in range(target.shape[1]):
-                h = states[k] = self._step(h * goes_on[k], a[k])[0]
-            before = after[-1]
-            t, lane = np.nonzero(target.T >= 0)
-            logs = self.log_probs(states[t, lane], target.T[t, lane])
-            out += np.bincount(owner[index[lane, t]], logs, len(documents))
+            index = begins[:live] + place[:, None]
+            target = np.where(place[:, None] < lengths[:live], stream.take(index, mode="clip"), -1)
+            after = np.where(target < 0, END, target)
+            reads = np.concatenate([before[None, :live], after[:-1]])
+            goes_on, a = (reads != END).astype(np.float32)[:, None], self._read(reads)
+            h, before = h[:, :live], after[-1]
+            states = np.empty((len(place), n, live), np.float32)
+            new, zr, g = (np.empty((k * n, live), np.float32) for k in (1, 2, 3))
+            for k in range(len(place)):
+                self._step(h * goes_on[k], a[k], states[k], new, zr, g)
+                h = states[k]
+            here = np.flatnonzero(target >= 0)
+            logs = self._log_probs(self._rows(states, here), target.ravel()[here], *weights)
+            out += np.bincount(owner[index.ravel()[here]], logs, len(documents))
         return out
 
 
@@ -302,23 +340,37 @@ def tokens(text: str | None) -> list[bytes]:
     return utf8(text).lower().split()
 
 
-def word_counts(docs: DataFrame, flush: int = 500_000) -> DataFrame:
-    """word (binary), n. Tasks add up what they have before they send it on."""
+def split(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """What tokens gives for each of the texts, one behind the other, and how many words each has."""
+    own = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.string()).fill_null("")))
+    lists = pc.ascii_split_whitespace(own)
+    words, n, empty = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False), pc.equal(own, "").to_numpy(zero_copy_only=False)
+    if empty.any():  # these have the empty string as their only word
+        words, n = words.filter(pc.not_equal(words, "")), np.where(empty, 0, n)
+    return words.cast(pa.binary()), n.astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+def rows_of(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Where each word stands among the known ones, -1: nowhere."""
+    return pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(tokens(text))
-                if len(found) > flush:
-                    yield out()
-                    found.clear()
-        if found:
-            yield out()
+
+def ended(symbols: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Documents of n symbols each, END last."""
+    out, ends = np.empty(len(symbols) + len(n), np.int32), np.cumsum(n + 1)
+    inside = np.ones(len(out), bool)
+    inside[ends - 1] = False
+    out[inside], out[ends - 1] = symbols, END
+    return cut_at(out, (n + 1).tolist())
+
+
+def word_counts(docs: DataFrame, most: int = 2 * SPLIT) -> DataFrame:
+    """word (binary), n. Tasks add up what a portion of their texts has before they send it on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in portions((t for batch in batches for t in batch.column(0).to_pylist()), lambda t: len(t or "") + 100, most):
+            found = split(part)[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -391,14 +443,15 @@ def train(training: DataFrame, stats: Statistics, shard: int = SHARD, rounds: in
 def _learn(batches: Iterator[pa.RecordBatch], stats: Statistics, start: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The network's pieces after each shard, weighed by its tokens; batches (shard, text) in order of shards."""
     one_blas_thread()
-    vocabulary = {w: int(stats.symbols[k]) for w, k in stats.head.items() if stats.symbols[k] != OTHER}  # small enough for the processor's cache
-    get = vocabulary.get
+    of = np.append(stats.symbols[stats.symbols != OTHER], OTHER)
+    vocabulary = pa.array([w for w, k in stats.head.items() if stats.symbols[k] != OTHER], pa.binary())  # small enough for the processor's cache
     rows = ((k, t) for batch in batches for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
     for _, own in itertools.groupby(rows, lambda r: r[0]):
         network = Network(stats.network.n_words, stats.network.hidden, dict(stats.network.p))
         memory, seen, n_documents = network.load(start), 0, 0
         for part in portions(own, lambda r: len(r[1] or "") + 100, PORTION):
-            documents = [np.array([*map(get, tokens(t), itertools.repeat(OTHER)), END], np.int32) for _, t in part]
+            words, lengths = split([t for _, t in part])
+            documents = ended(of[rows_of(words, vocabulary)], lengths)
             n = sum(map(len, documents))
             network.train(documents, lanes=max(32, min(LANES, n // 4096)), epochs=1, memory=memory)
             seen, n_documents = seen + n, n_documents + len(documents)
@@ -421,7 +474,7 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def symbols_of(words: list[bytes], stats: Statistics) -> tuple[np.ndarray, np.ndarray]:
-    """A document's symbols, END last, and its words' rows of the head (-1: not there)."""
+    """A document's symbols, END last, and its words' rows of the head (-1: not there); the plain way, word by word."""
     rows = np.fromiter(map(stats.head.get, words, itertools.repeat(-1)), np.int64, len(words))
     out = np.full(len(words) + 1, OTHER, np.int32)
     out[-1] = END
@@ -430,8 +483,9 @@ def symbols_of(words: list[bytes], stats: Statistics) -> tuple[np.ndarray, np.nd
     return out, rows
 
 
-def score(docs: DataFrame, stats: Statistics, counts: DataFrame) -> DataFrame:
-    """doc_id, fold, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, stats: Statistics, counts: DataFrame, most: int = SPLIT, at_once: int = SCORED) -> DataFrame:
+    """doc_id, fold, n_tokens, n_known, train_tokens, base_score, score. Texts are split by portions of most characters, and
+    the network reads at_once tokens side by side: each time takes as many steps as the longest document has."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(stats)  # at most HEAD words and a network of fixed size
     names = ["word", "row", "doc_id", "fold", "n_tokens", "n_known", "base", "model", "tf"]
@@ -442,31 +496,41 @@ def score(docs: DataFrame, stats: Statistics, counts: DataFrame) -> DataFrame:
 
         one_blas_thread()
         own, row = sent.value, TaskContext.get().partitionId() << 40
-        base_of = np.log10((own.counts + 1.0) / (own.n + own.v + 1.0))
-        other_of = np.where(own.symbols == OTHER, np.log10((own.counts + 1.0) / (own.other_n + own.other_v + 1.0)), 0.0)
+        head, symbol_of = pa.array(list(own.head), pa.binary()), np.append(own.symbols, OTHER)  # the last place is that of words outside
+        base_of = np.append(np.log10((own.counts + 1.0) / (own.n + own.v + 1.0)), 0.0)
+        other_of = np.append(np.where(own.symbols == OTHER, np.log10((own.counts + 1.0) / (own.other_n + own.other_v + 1.0)), 0.0), 0.0)
         end_known, end_base = int(own.ends > 0), np.log10((own.ends + 1.0) / (own.n + own.v + 1.0))
-        for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            for part in portions(rows, lambda r: len(r[2] or "") + 100, 4_000_000):
-                documents, heads, others, words_of, times, sizes = [], [], [], [], [], []
-                first = row + 1
-                for doc, fold, text in part:
-                    words = tokens(text)
-                    symbols, at = symbols_of(words, own)
-                    documents.append(symbols)
-                    known = at[at >= 0]
-                    row += 1
-                    tail = Counter([words[i] for i in np.flatnonzero(at < 0).tolist()])
-                    words_of += tail
-                    times += tail.values()
-                    sizes.append(len(tail))
-                    heads.append((b" " + str(row).encode(), row, doc, fold, len(symbols), len(known) + end_known, base_of[known].sum() + end_base))
-                    others.append(other_of[known].sum())
-                model = own.network.score(documents) / np.log(10) + others
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*heads), types)), pa.array(model), pa.array(np.zeros(len(model), np.int64))], names=names)
-                if times:
-                    by_row = np.repeat(np.arange(first, row + 1), sizes)
-                    yield pa.RecordBatch.from_arrays([pa.array(words_of, types[0]), pa.array(by_row), *(pa.nulls(len(times), t) for t in types[2:8]), pa.array(times, types[8])], names=names)
+        documents, columns = [], [[] for _ in range(8)]  # of rows that wait for their scores; the last column: sums of other words
+
+        def scored() -> pa.RecordBatch:
+            model = own.network.score(documents) / np.log(10) + columns.pop()
+            out = pa.RecordBatch.from_arrays([*map(pa.array, columns, types), pa.array(model), pa.array(np.zeros(len(model), np.int64))], names=names)
+            documents.clear()
+            columns[:] = [[] for _ in range(8)]
+            return out
+
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for part in portions(rows, lambda r: len(r[2] or "") + 100, most):
+            ids, folds, texts = zip(*part)
+            words, n = split(texts)
+            at, document, k = rows_of(words, head), np.repeat(np.arange(len(part)), n), len(part)
+            sums = [np.bincount(document, of[at], k) for of in (base_of, other_of)]
+            first, row = row + 1, row + k
+            here, known = range(first, row + 1), np.bincount(document[at >= 0], minlength=k)
+            for column, values in zip(columns, ([b" %d" % r for r in here], here, ids, folds, n + 1, known + end_known, sums[0] + end_base, sums[1])):
+                column.extend(values)
+            documents.extend(ended(symbol_of[at], n))
+            outside = np.flatnonzero(at < 0)
+            if len(outside):
+                found = words.take(pa.array(outside)).dictionary_encode()
+                different = len(found.dictionary)
+                pairs, times = np.unique(document[outside] * different + found.indices.to_numpy(), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [found.dictionary.take(pa.array(pairs % different)), pa.array(first + pairs // different), *(pa.nulls(len(times), t) for t in types[2:8]), pa.array(times, types[8])], names=names)
+            if sum(map(len, documents)) >= at_once:
+                yield scored()
+        if documents:
+            yield scored()
 
     parts = docs.select("doc_id", "fold", "text").mapInArrow(run, "word binary, row bigint, doc_id bigint, fold bigint, n_tokens bigint, n_known bigint, base double, model double, tf bigint")
     # Row numbers come from a task's place, so the rows are written once: a task that is run again can't number anew.

@@ -377,6 +377,34 @@ def test_language_model(docs, none):
     assert language_model.log_likelihoods(none).count() == 0
 
 
+def test_split_gives_each_text_its_tokens():
+    texts = [*TEXTS, " ", "\n\t Ab  cD \x0b", "\x1c\x1d\x1e\x1f \x85\xa0", *(f"{chr(c)}Q {chr(c)}q{chr(c)}" for c in range(0x300))]
+    words, n = language_model.split(texts)
+    own = [language_model.tokens(t) for t in texts]
+    assert n.tolist() == [*map(len, own)] and words.to_pylist() == [w for ws in own for w in ws]
+    assert [x.tolist() for x in language_model.ended(np.arange(2, 2 + len(words)), n)[:2]] == [[*range(2, 62), 1], [*range(62, 67), 1]]
+    assert language_model.split([])[1].tolist() == language_model.split([None, ""])[1].tolist()[2:] == []
+
+
+def test_scores_do_not_depend_on_portions(docs):
+    """Nor on what a task reads at once; the network's sums are those of the plain way, document by document."""
+    rows = docs.selectExpr("doc_id", "text", "0L fold").repartition(2)
+    counts = language_model.word_counts(rows, most=300)
+    assert {r["word"]: r["n"] for r in counts.collect()} == {r["word"]: r["n"] for r in language_model.word_counts(rows).collect()}
+    stats = language_model.fit(rows, counts, head=200, vocabulary=150)
+    key = lambda r: (r["n_tokens"], r["doc_id"] is None, r["doc_id"], r["n_known"])
+    whole, parts = (sorted(language_model.score(rows, stats, counts, **k).collect(), key=key) for k in ({}, {"most": 700, "at_once": 150}))
+    assert len(whole) == len(TEXTS) + 2 and [*map(key, whole)] == [*map(key, parts)]
+    for a, b in zip(whole, parts):
+        assert (a["score"], a["base_score"]) == pytest.approx((b["score"], b["base_score"]), rel=1e-5)
+    sums = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    for r in whole:
+        words = language_model.tokens(TEXTS[r["doc_id"]] if r["doc_id"] is not None else "no id")
+        symbols, _ = language_model.symbols_of(words, stats)
+        others = sum(np.log10((sums[w] + 1) / (stats.other_n + stats.other_v + 1)) for w, s in zip(words, symbols) if s == language_model.OTHER)
+        assert r["score"] == pytest.approx(stats.network.score([symbols])[0] / np.log(10) + others, rel=1e-5)
+
+
 def test_network_learns_order():
     words = [2, 3, 4, 5]
     documents = [np.array([*(words * 6), 1], np.int32) for _ in range(40)]
